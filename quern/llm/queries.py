@@ -24,7 +24,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op6_packing)}
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import quality
+    from quern.llm.common import bucket
+
+    docs, held_out = _table(spark, sf_dir, "documents"), bucket(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import language
+    from quern.llm.common import bucket
+
+    docs, held_out = _table(spark, sf_dir, "documents"), bucket(F.col("doc_id"), 4) == 2
+    net = language.fit(docs, ~held_out)
+    return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import token_counts
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op10_token_counts, op5_benchmark_decontamination, op6_packing)}
 
 ORACLES: dict[str, str] = {}
 
