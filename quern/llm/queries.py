@@ -49,7 +49,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op10_token_counts, op5_benchmark_decontamination, op6_packing)}
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import jaccard
+
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op10_token_counts, op5_benchmark_decontamination, op6_packing)}
 
 ORACLES: dict[str, str] = {}
 
