@@ -55,7 +55,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op10_token_counts, op5_benchmark_decontamination, op6_packing)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import pii
+
+    def digest(spans: str):
+        return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
+
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op5_benchmark_decontamination, op6_packing, op7_pii, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
