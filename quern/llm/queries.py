@@ -66,7 +66,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op5_benchmark_decontamination, op6_packing, op7_pii, op10_token_counts)}
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import suffixes
+
+    found = suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+    words = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("n_words"), "spans", "other_ids")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import sentence_spans
+
+    found = sentence_spans.repeated_spans(_table(spark, sf_dir, "documents"))
+    chars = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), chars.alias("n_removed"), "spans", "kept_in")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_benchmark_decontamination, op6_packing, op7_pii, op9_substring_dedup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
