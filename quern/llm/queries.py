@@ -82,7 +82,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), chars.alias("n_removed"), "spans", "kept_in")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_benchmark_decontamination, op6_packing, op7_pii, op9_substring_dedup, op10_token_counts)}
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import neardup_graph
+
+    return neardup_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_benchmark_decontamination, op6_packing, op7_pii, op8_embedding_near_dedup, op9_substring_dedup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
