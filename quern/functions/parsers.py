@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Language of a text by content type, then by extension.
 LANGUAGE_BY_TYPE = {"text/markdown": "markdown", "application/json": "json", "application/xml": "xml", "application/yaml": "yaml"}
@@ -66,7 +67,7 @@ def _sign(m: re.Match) -> str:
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_numeric(values: pd.Series) -> pd.Series:
     return values.map(lambda v: re.sub(_NUMERIC, _sign, v), na_action="ignore")
 

@@ -97,7 +97,7 @@ def dmetaphone_codes(text: Column, alt: bool = False) -> Column:
     @F.pandas_udf("array<string>")
     def codes(values: pd.Series) -> pd.Series:
         known = {v: _codes(v, alt) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return codes(text)
 
