@@ -10,9 +10,9 @@ Each subset's features hash to one signature, so linked sets share one: no link
 is lost.
 
 Exact copies (equal sets) are one class from the start. Each signature's rows
-are joined to its least member only (one row a member, however many members);
-near copies melt into components. Then pairs of different components that share
-a signature and whose sketches (a parity bit vector, a lower bound of the
+are joined to its least member, the hub, only (one row a member, however many
+members); near copies melt into components. Then pairs of different components
+in the star of one hub whose sketches (a parity bit vector, a lower bound of the
 difference) do not rule out a link are compared exactly, so the result is exact.
 
 Defined results: null, empty and blank texts have 0 shingles and link with
@@ -148,22 +148,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "rep"])
 
     signs = distinct.mapInArrow(signed, "sig long, rep long")
-    # signatures of one member go: a run of equal signatures is read as a stream, with its least member first
-    shared = materialise(_shared_runs(signs))
-    near = shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = shared.select("rep").distinct()
+    # whoever shares a signature is linked to the same hub, its least member: stars hold all candidate pairs
+    stars = materialise(_stars(signs))
+    reps = stars.select(F.col("hub").alias("rep")).unionByName(stars.select("rep")).distinct()
     sketches = materialise(_sketches(docs, reps, width, s_names))
+    near = stars.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = materialise(_verified(_closest(_sketched(near, sketches, s_names, percent)), docs, width, percent))
     parts = _parts(links, reps)
 
-    # what is left: pairs of different components that share a signature
-    left = shared.select("sig", "rep").join(parts, "rep")
-    mixed = left.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
-    left = materialise(left.join(mixed, "sig").join(sketches, "rep"))
+    # what is left: pairs of different components in one star
+    left = stars.unionByName(stars.select("hub", F.col("hub").alias("rep")).distinct()).join(parts, "rep")
+    mixed = left.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("hub")
+    left = materialise(left.join(mixed, "hub").join(sketches, "rep"))
     a, b = left.alias("a"), left.alias("b")
     bound = f"(a.n + b.n) * {100 - percent}L div {100 + percent}L"
     apart = " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in s_names)
-    rest = a.join(b, F.expr(f"a.sig = b.sig and a.rep < b.rep and a.part <> b.part and abs(a.n - b.n) <= {bound} and {apart} <= {bound}"))
+    rest = a.join(b, F.expr(f"a.hub = b.hub and a.rep < b.rep and a.part <> b.part and abs(a.n - b.n) <= {bound} and {apart} <= {bound}"))
     rest = materialise(rest.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
     more = materialise(_verified(rest, docs, width, percent))
     parts = _parts(links.unionByName(more), reps)
@@ -172,37 +172,26 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     return known.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _shared_runs(signs: DataFrame) -> DataFrame:
-    """(sig, rep, hub) for signatures of two members or more, hub the least."""
+def _stars(signs: DataFrame) -> DataFrame:
+    """(hub, rep), distinct: members of a signature with its least member.
+
+    A run of equal signatures is read as a stream that remembers the hub only.
+    """
 
     def run(batches):
-        held = None  # the first row of the run that is open, while it is alone
         sig = hub = None
         for batch in batches:
             s, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if not len(s):
                 continue
-            new = np.r_[s[0] != sig if sig is not None else True, s[1:] != s[:-1]]
-            at = np.flatnonzero(new)
-            begin = np.r_[0, at] if not new[0] else at
-            hubs = r[begin]
-            if not new[0]:
-                hubs[0] = hub
-            run_of = np.cumsum(new) - (1 if new[0] else 0)
-            count = np.bincount(run_of, minlength=len(begin))
-            if not new[0]:
-                count[0] += 1
-            count_last = count[-1]
-            keep = count[run_of] > 1
-            out = [(s[keep], r[keep], hubs[run_of][keep])]
-            if held is not None and not new[0]:
-                out.insert(0, tuple(np.array([x], np.int64) for x in (held[0], held[1], held[1])))
-            # the last run's only row waits for the next batch
-            held = (s[-1], r[-1]) if count_last == 1 else None
+            new = np.r_[sig is None or s[0] != sig, s[1:] != s[:-1]]
+            hubs = np.r_[np.int64(0 if hub is None else hub), r[new]][np.cumsum(new)]
             sig, hub = s[-1], hubs[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["sig", "rep", "hub"])
+            linked = hubs != r
+            pairs = np.unique(np.c_[hubs[linked], r[linked]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["hub", "rep"])
 
-    return signs.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(run, "sig long, rep long, hub long")
+    return signs.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(run, "hub long, rep long").distinct()
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
