@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import shared_folder
+
 SYSTEM_PREFIX = "_system_"
 
 
@@ -171,6 +173,7 @@ def moved(files: DataFrame, old: str, new: str, copy: bool = False) -> DataFrame
 
 def resolve_links(links: DataFrame, max_depth: int = 32) -> DataFrame:
     """(path, target, status) of symbolic links (path, target), followed to a file; cycles and long chains are told."""
+    shared_folder(links.sparkSession)  # checkpoints need one
     now = links.select("path", "target", F.lit("open").alias("status"))
     step = links.select(F.col("path").alias("target"), F.col("target").alias("next"))
     for _ in range(max_depth):
