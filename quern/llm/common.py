@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A side of a join of at most so many rows of one id is broadcast (about 64 MB); beyond it, the join shuffles.
@@ -36,23 +36,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the least node reachable.
 
     Alternates large-star and small-star steps. Both are a map-side combined
-    minimum and a join whose skewed side can be split, so that a node with
-    very many links is no hot task. Each round is checkpointed.
+    minimum and a join with it: by broadcast while there are few nodes, else a
+    join whose skewed side can be split, so that a node with very many links is
+    no hot task. Each round is checkpointed.
     """
-    spark: SparkSession = edges.sparkSession
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, rows = None, now.count()
     for _ in range(max_rounds):
+        if not rows:
+            break
+        small_enough = 2 * rows <= BROADCAST_ROWS
+        side = F.broadcast if small_enough else materialise
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = large if small_enough else materialise(large)
+        small = large.join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = materialise(small)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = mark
+        before, rows = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -2,13 +2,20 @@
 
 A document's set holds its distinct word shingles (64-bit hashes). Sizes are cut
 into bands so that sets which can link lie in the same band or in neighbouring
-ones; each set acts in its own band and the next. Within a band two linked sets
+ones; each set acts in its own band, and in the next if it is large enough to
+link with a set there. Within a band two linked sets
 differ in at most k features. The feature domain is hashed into n1 parts, so
 that at least one part has at most k2 = 1 difference; that part is cut into n2
 again, and of the subsets of n2 - 1 of them at least one is free of differences.
 Each subset's features hash to one signature, so linked sets share one: no link
 is lost.
 
+Where such signatures would hold few features, unlike sets would share empty
+ones by chance. Large sets are then cut into more parts (k2 = 0), and only parts
+of FILLED features or more sign. The larger of two linked sets has more filled
+parts than they can have differences, so they share a filled one. That count is
+checked for every set: a band in which one set falls short signs all its parts.
+
 Exact copies (equal sets) are one class from the start. Each signature's rows
 are joined to its least member, the hub, only (one row a member, however many
 members); near copies melt into components. Then pairs of different components
@@ -18,11 +25,13 @@ difference) do not rule out a link are compared exactly, so the result is exact.
 Defined results: null, empty and blank texts have 0 shingles and link with
 nothing; a text with fewer words than a shingle is one shingle; a row with a
 null doc_id has its set size and a null component; repeated rows of a doc_id
-count as one document and are each returned; other columns are not read.
+count as one document (the least text speaks for it) and are each returned;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +42,9 @@ from pyspark.sql import functions as F
 from quern.llm import textops as X
 from quern.llm.common import connected_components, materialise, small_side
 
-SKETCH = 8  # 64-bit words of the parity sketch
+SKETCH = 16  # 64-bit words of the parity sketch
+#: Signatures of fewer features on average are too few; then parts of FILLED features sign, PARTS of them for each feature of the band's largest set.
+FEW, FILLED, PARTS = 6, 2, 0.4
 
 
 def difference(size: int, percent: int) -> int:
@@ -45,19 +56,39 @@ class Bands:
     """Size bands and the PartEnum plan (n1, n2, k2) of each."""
 
     def __init__(self, percent: int):
-        self.percent, self.low, self.high = percent, [1], []
+        self.percent, self.low, self.high, self.parts = percent, [1], [], {}
 
     def of(self, size: int) -> int:
         while not self.high or self.high[-1] < size:
-            self.high.append(self.low[-1] * 100 // self.percent)
+            self.high.append(self.low[-1] * 10_000 // self.percent**2)
             self.low.append(self.high[-1] + 1)
         return int(np.searchsorted(self.high, size))
 
-    def plan(self, band: int) -> tuple[int, int, int]:
+    def _bounds(self, band: int) -> tuple[int, int]:
         while len(self.high) <= band:
             self.of(self.low[-1])
-        k = difference(2 * self.high[band], self.percent)
-        return (1, 1, 0) if k == 0 else ((k + 2) // 2, 3 if k <= 6 else 2, 1)
+        return self.low[band], self.high[band]
+
+    def filled(self, band: int) -> int:
+        """Parts of a band whose filled parts sign, or 0: there must be enough by five standard deviations."""
+        if band not in self.parts:
+            low, high = self._bounds(band)
+            m, enough = int(PARTS * high), high < FEW * (difference(2 * high, self.percent) + 2)
+            for size in (low, high):
+                mean = size / max(m, 1)
+                sparse = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(FILLED))
+                enough &= m * (1 - sparse) - difference(2 * size, self.percent) - 1 >= 5 * math.sqrt(m * sparse * (1 - sparse))
+            self.parts[band] = m if enough else 0
+        return self.parts[band]
+
+    def plan(self, band: int) -> tuple[int, int, int]:
+        high = self._bounds(band)[1]
+        k = difference(2 * high, self.percent)
+        return (1, 1, 0) if k == 0 else ((k + 2) // 2, 3 if k <= 6 or high < FEW * (k + 2) else 2, 1)
+
+    def acts_in(self, size: int) -> tuple[int, ...]:
+        band = self.of(size)
+        return (band, band + 1) if 100 * size >= self.percent * self.low[band + 1] else (band,)
 
 
 def shingle_sets(column, width: int):
@@ -84,24 +115,41 @@ def shingle_sets(column, width: int):
                 yield none
 
 
-def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
+def _places(features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each feature where it falls, and a value in two halves (sums of which are exact in doubles)."""
+    value = X.mix(features ^ np.uint64(0x5BE0CD19137E2179))
+    return X.mix(features + np.uint64(0x1F83D9ABFB41BD6B)), (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
+
+
+def falls_short(features: np.ndarray, bands: Bands) -> int | None:
+    """The set's band, if its filled parts are too few to be sure of a shared one."""
+    band = bands.of(len(features)) if len(features) else 0
+    m = bands.filled(band) if len(features) else 0
+    if not m:
+        return None
+    counts = np.bincount((_places(features)[0] % np.uint64(m)).astype(np.int64), minlength=m)
+    return band if (counts >= FILLED).sum() <= difference(2 * len(features), bands.percent) else None
+
+
+def signatures(features: np.ndarray, bands: Bands, short: frozenset = frozenset()) -> np.ndarray:
+    """short: the bands in which some set falls short."""
     out = []
-    band = bands.of(len(features))
-    place, value = X.mix(features + np.uint64(0x1F83D9ABFB41BD6B)), X.mix(features ^ np.uint64(0x5BE0CD19137E2179))
-    lo, hi = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    for b in (band, band + 1):
-        n1, n2, k2 = bands.plan(b)
+    place, lo, hi = _places(features)
+    for b in bands.acts_in(len(features)):
+        m = bands.filled(b)
+        n1, n2, k2 = (m, 1, 0) if m else bands.plan(b)
         part = (place % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.bincount(part, lo, n1 * n2).astype(np.uint64) + (np.bincount(part, hi, n1 * n2).astype(np.uint64) << np.uint64(32))
         sums = sums.reshape(n1, n2)
         for c, subset in enumerate(combinations(range(n2), n2 - k2)):
             salt = np.uint64((b * 64 + c) << 32) + np.arange(n1, dtype=np.uint64)
-            out.append(X.mix(X.mix(salt) + sums[:, list(subset)].sum(1, dtype=np.uint64)))
+            own = X.mix(X.mix(salt) + sums[:, list(subset)].sum(1, dtype=np.uint64))
+            out.append(own[np.bincount(part, minlength=m) >= FILLED] if m and b not in short else own)
     return np.concatenate(out)
 
 
 def sketch(features: np.ndarray) -> list[int]:
-    bits = np.bincount((features >> np.uint64(55)).astype(np.int64), minlength=SKETCH * 64) & 1
+    bits = np.bincount((features >> np.uint64(54)).astype(np.int64), minlength=SKETCH * 64) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -111,24 +159,32 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document."""
-    docs = _texts(docs, doc_id, text)
+    every = _texts(docs, doc_id, text)
+    docs = every.where("doc_id is not null")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     s_names = [f"s{k}" for k in range(SKETCH)]
 
     def prints(batches):
+        bands = Bands(percent)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, short = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 a.append(int(X.mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 b.append(int(X.mix(s ^ np.uint64(0x510E527FADE682D1)).sum(dtype=np.uint64).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b))], names=["doc_id", "n_shingles", "p1", "p2"])
+                short.append(falls_short(s, bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b, short))], names=["doc_id", "n_shingles", "p1", "p2", "short"])
 
-    known = materialise(docs.mapInArrow(prints, "doc_id long, n_shingles long, p1 long, p2 long"))
+    known = materialise(every.mapInArrow(prints, "doc_id long, n_shingles long, p1 long, p2 long, short long"))
+    short = frozenset(r[0] for r in known.where("short is not null").select("short").distinct().toLocalIterator())  # of a few dozen bands
     filled = known.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("rep"))
-    member = materialise(filled.join(classes, ["n_shingles", "p1", "p2"]).select("doc_id", "n_shingles", "rep"))
+    # only classes of several documents are joined back; the join can be split where a class is hot
+    classes = filled.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    member = filled.join(small_side(materialise(classes)), ["n_shingles", "p1", "p2"], "left")
+    member = materialise(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     copies = member.where("doc_id <> rep").select("doc_id").distinct()
-    distinct = docs.where("doc_id is not null").join(small_side(copies), "doc_id", "left_anti")
+    distinct = docs.join(small_side(copies), "doc_id", "left_anti")
 
     def signed(batches):
         bands = Bands(percent)
@@ -137,7 +193,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
             done = 0
             for d, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
                 if len(s):
-                    g = signatures(s, bands)
+                    g = signatures(s, bands, short)
                     ids.append(np.full(len(g), d, np.int64))
                     sigs.append(g.view(np.int64))
                     done += len(g)
@@ -159,7 +215,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     # what is left: pairs of different components in one star
     left = stars.unionByName(stars.select("hub", F.col("hub").alias("rep")).distinct()).join(parts, "rep")
     mixed = left.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("hub")
-    left = materialise(left.join(mixed, "hub").join(sketches, "rep"))
+    left = materialise(left.join(small_side(materialise(mixed)), "hub").join(sketches, "rep"))
     a, b = left.alias("a"), left.alias("b")
     bound = f"(a.n + b.n) * {100 - percent}L div {100 + percent}L"
     apart = " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in s_names)
@@ -167,8 +223,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     rest = materialise(rest.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
     more = materialise(_verified(rest, docs, width, percent))
     parts = _parts(links.unionByName(more), reps)
-    least = member.select("rep").distinct().join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("component_id"))
-    final = member.select("doc_id", "rep").distinct().join(least, "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    moved = materialise(parts.where("part <> rep"))
+    final = member.join(small_side(moved), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("part", "rep")).alias("component_id"))
     return known.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -206,7 +262,7 @@ def _sketches(docs: DataFrame, reps: DataFrame, width: int, names: list[str]) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(SKETCH + 1))], names=["rep", "n", *names])
 
     found = _chosen(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, n long, " + ", ".join(f"{s} long" for s in names))
-    return found.dropDuplicates(["rep"])
+    return found
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, names: list[str], percent: int) -> DataFrame:
@@ -226,7 +282,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, b) whose sets link, compared in full."""
     pairs = materialise(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(_chosen(docs, ids)).groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = materialise(_chosen(docs, ids))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):

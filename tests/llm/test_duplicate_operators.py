@@ -53,17 +53,18 @@ def test_jaccard_of_awkward_rows(spark):
 
 
 @given(st.integers(0, 100_000), st.sampled_from([80, 90]))
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 def test_linked_sets_share_a_signature(seed, percent):
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
-    b = a[rng.random(len(a)) > 0.06]
+    a = rng.integers(0, 1 << 63, rng.choice([rng.integers(1, 300), rng.integers(300, 5000)]), dtype=np.uint64)
+    b = a[rng.random(len(a)) > rng.choice([0.03, 0.06, 0.1])]
     b = np.unique(np.r_[b, rng.integers(0, 1 << 63, rng.integers(0, 1 + len(a) // 15), dtype=np.uint64)])
     a = np.unique(a)
     common_ = len(np.intersect1d(a, b))
     if len(b) and 100 * common_ >= percent * (len(a) + len(b) - common_):
         bands = jaccard.Bands(percent)
-        assert np.intersect1d(jaccard.signatures(a, bands), jaccard.signatures(b, bands)).size
+        short = frozenset({jaccard.falls_short(s, bands) for s in (a, b)} - {None})
+        assert np.intersect1d(jaccard.signatures(a, bands, short), jaccard.signatures(b, bands, short)).size
         x, y = (np.array(jaccard.sketch(s), np.int64) for s in (a, b))
         assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a) + len(b) - 2 * common_ <= jaccard.difference(len(a) + len(b), percent)
 
