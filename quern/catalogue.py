@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import json_values, parsers, paths, phonetic, schedule, text
-from quern.operators import access, listing, rates, search, storage, versions
+from quern.operators import access, indexes, listing, rates, search, storage, versions
 from quern.plans import query
 from quern.plans.collections import standard
 from quern.plans.query import Request
@@ -249,6 +249,20 @@ def text_inside_boolean_tree(spark, sf_dir):
     return found(spark, sf_dir, "/parts", where, "score").withColumn("score", F.round("score", 6))
 
 
+@registered(f"""WITH t AS (SELECT {PART} AS path, unnest({_trigrams('p_name')}) AS token FROM part)
+SELECT path, count(*) AS shared FROM t WHERE list_contains({_trigrams("'gear'")}, token) GROUP BY 1""")
+def postings_candidates(spark, sf_dir):
+    """Documents that share a trigram with a query, by the postings of a field."""
+    return indexes.candidates(indexes.postings(collection(spark, sf_dir, "/parts"), "p_name", "trigram"), "p_name", "trigram", "gear")
+
+
+@registered(f"""WITH t AS (SELECT {PART} AS path, unnest({_trigrams('p_name')}) AS token, 'trigram' AS strategy FROM part UNION ALL SELECT {PART}, p_name, 'string' FROM part)
+SELECT 'p_name' AS field, strategy, count(*) AS entries, count(DISTINCT token) AS values, count(DISTINCT path) AS documents FROM t GROUP BY strategy""")
+def index_statistics(spark, sf_dir):
+    df = collection(spark, sf_dir, "/parts")
+    return indexes.statistics(indexes.postings(df, "p_name", "trigram").unionByName(indexes.postings(df, "p_name", "string")))
+
+
 # --- aggregates ------------------------------------------------------------
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import paths
 
 CHUNK_BYTES = 262_144
-#: Content types that are compressed already, and the least size worth compressing.
-COMPRESSED_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp", "video/mp4", "audio/mpeg", "application/zip", "application/gzip", "application/zstd")
+# What the type of compressed content contains, and the least size worth compressing.
+COMPRESSED_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp", "video/", "audio/", "zip", "compressed", "zstd")
 LEAST_COMPRESSED_BYTES = 500
 
 
@@ -55,7 +55,7 @@ def sync_diff(mine: DataFrame, theirs: DataFrame, globs: list[str] | None = None
 
 
 def should_compress(size: Column, content_type: Column) -> Column:
-    return (size >= LEAST_COMPRESSED_BYTES) & ~content_type.isin(*COMPRESSED_TYPES)
+    return (size >= LEAST_COMPRESSED_BYTES) & ~F.lower(F.coalesce(content_type, F.lit(""))).rlike("|".join(COMPRESSED_TYPES))
 
 
 def content_type(content: Column) -> Column:
@@ -64,7 +64,7 @@ def content_type(content: Column) -> Column:
     magic = [("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("25504446", "application/pdf"), ("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("28B52FFD", "application/zstd"), ("424D", "image/bmp"), ("4F676753", "audio/ogg"), ("494433", "audio/mpeg"), ("664C6143", "audio/flac"), ("1A45DFA3", "video/webm")]
     data = content.cast("binary")
     head = F.substring(data, 1, 8192).cast("string")
-    out = F.when(F.is_valid_utf8(head) & ~head.rlike(r"[\x00-\x08\x0E-\x1F]"), "text/plain").otherwise("application/octet-stream")
+    out = F.when(F.is_valid_utf8(head) & ~head.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & (head != ""), "text/plain").otherwise("application/octet-stream")
     for lead, kind in reversed(magic):
         out = F.when(F.startswith(F.hex(F.substring(data, 1, 8)), F.lit(lead)), kind).otherwise(out)
     return out

@@ -30,6 +30,11 @@ def add_snapshot(store: DataFrame, head: DataFrame, name: str) -> DataFrame:
     return store.unionByName(head.withColumn("version", F.lit(name)), allowMissingColumns=True)
 
 
+def promote_fork(head: DataFrame, forks: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(the fork's rows as the new head, the forks without it)."""
+    return forks.where(F.col("version") == name).select(*head.columns), forks.where(F.col("version") != name)
+
+
 def rename_snapshot(store: DataFrame, old: str, new: str) -> DataFrame:
     return store.withColumn("version", F.when(F.col("version") == old, new).otherwise(F.col("version")))
 

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths
 
+# The types of events.
+EVENT_TYPES = (
+    "entries_created", "entries_updated", "entries_deleted", "versions_created", "versions_deleted", "versions_promoted", "versions_restored", "users_created",
+    "users_activated", "users_deactivated", "permissions_changed", "imports_completed", "indexes_updated", "errors", "tokens_exchanged", "api_keys_created",
+    "api_keys_revoked", "plugins_deployed", "plugins_removed", "heartbeat", "files_shared", "metrics", "gc_started", "gc_completed", "tasks_created",
+    "tasks_started", "tasks_completed", "tasks_failed", "tasks_cancelled", "syncs_completed", "syncs_failed", "server_ready",
+)
+
 
 def read(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
     """A stream of Parquet files that arrive in a folder."""

@@ -4,7 +4,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import access, listing, rates, search, storage, versions
+from quern.operators import access, indexes, listing, rates, search, storage, versions
 from quern.plans import builder, query
 from quern.plans.builder import Field, Query, all_of, any_of, none_of
 from quern.plans.collections import Catalog, Collection
@@ -153,6 +153,26 @@ def test_search(spark):
     assert catalog.at("/people/x/y").path == "/people"
 
 
+def test_indexes(spark, tmp_path):
+    table = spark.createDataFrame([(1, "red widget"), (2, "blue wijit"), (3, None)], "id int, name string")
+    df = Collection("/p", "p", "concat(id, '.json')").load(spark, table)
+    indexes.reindex(df, {"name": ["trigram", "dmetaphone", "string", "soundex"]}, str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    ask = lambda *a, **o: sorted(r.path for r in indexes.candidates(index, "name", *a, **o).collect())
+    assert ask("string", "red widget") == ["/p/1.json"] and ask("dmetaphone", "wijit") == ["/p/1.json", "/p/2.json"]
+    assert ask("trigram", "widget", every=True) == ["/p/1.json"] and ask("trigram", "wi") == ["/p/1.json", "/p/2.json"] and ask("soundex", "rad") == ["/p/1.json"]
+    assert {(r.strategy, r.documents) for r in indexes.statistics(index).collect()} == {(s, 2) for s in indexes.STRATEGIES}
+
+
+def test_forks(spark):
+    store = spark.createDataFrame([("s1", "/a", "1"), ("w", "/a", "2")], "version string, path string, content_hash string")
+    forks = spark.createDataFrame([("w", "/b", "9")], "version string, path string, content_hash string")
+    assert [r.path for r in versions.at_version(store, "w", forks).collect()] == ["/b"] and [r.path for r in versions.at_version(store, "s1", forks).collect()] == ["/a"]
+    head, rest = versions.promote_fork(store.drop("version"), forks, "w")
+    assert [r.content_hash for r in head.collect()] == ["9"] and rest.count() == 0
+    assert versions.drop_snapshot(versions.rename_snapshot(versions.add_snapshot(store, head, "n"), "n", "m"), "s1").select("version").distinct().count() == 2
+
+
 def test_locators(spark):
     row = spark.createDataFrame([("one é two\nTWO three",)], "t string").select(search.locators(F.col("t"), ["two"]).alias("l"), search.first_hit(F.col("t"), "TWO").alias("at")).first()
     assert [(x.start_char, x.start_byte, x.line, x.column) for x in row.l] == [(6, 7, 1, 7), (10, 11, 2, 1)] and row.at == 6
