@@ -222,7 +222,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 8, doc_id: s
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, " + HIT_SCHEMA)
+    return chosen.mapInArrow(X.tidy(run), "doc_id long, " + HIT_SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text") -> DataFrame:
@@ -234,4 +234,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, text:
         for batch in batches:
             yield batch.filter(pa.array([r[1] == 0 for r in scan(batch.column(at), shared.value)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)

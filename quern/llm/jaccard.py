@@ -176,7 +176,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
                 short.append(falls_short(s, bands))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b, short))], names=["doc_id", "n_shingles", "p1", "p2", "short"])
 
-    known = materialise(every.mapInArrow(prints, "doc_id long, n_shingles long, p1 long, p2 long, short long"))
+    known = materialise(every.mapInArrow(X.tidy(prints), "doc_id long, n_shingles long, p1 long, p2 long, short long"))
     short = frozenset(r[0] for r in known.where("short is not null").select("short").distinct().toLocalIterator())  # of a few dozen bands
     filled = known.where("n_shingles > 0 and doc_id is not null")
     # only classes of several documents are joined back; the join can be split where a class is hot
@@ -203,7 +203,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], names=["sig", "rep"])
 
-    signs = distinct.mapInArrow(signed, "sig long, rep long")
+    signs = distinct.mapInArrow(X.tidy(signed), "sig long, rep long")
     # whoever shares a signature is linked to the same hub, its least member: stars hold all candidate pairs
     stars = materialise(_stars(signs))
     reps = stars.select(F.col("hub").alias("rep")).unionByName(stars.select("rep")).distinct()
@@ -247,7 +247,7 @@ def _stars(signs: DataFrame) -> DataFrame:
             pairs = np.unique(np.c_[hubs[linked], r[linked]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["hub", "rep"])
 
-    return signs.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(run, "hub long, rep long").distinct()
+    return signs.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(X.tidy(run), "hub long, rep long").distinct()
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _sketches(docs: DataFrame, reps: DataFrame, width: int, names: list[str]) ->
             rows = [[len(s), *sketch(s)] for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(SKETCH + 1))], names=["rep", "n", *names])
 
-    found = _chosen(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(run, "rep long, n long, " + ", ".join(f"{s} long" for s in names))
+    found = _chosen(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(X.tidy(run), "rep long, n long, " + ", ".join(f"{s} long" for s in names))
     return found
 
 
@@ -293,7 +293,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 good.append(len(x) > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(X.tidy(run), "a long, b long")
 
 
 def _parts(links: DataFrame, reps: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lan
                     names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
 
-    got = [(r[0], bytes(r[1])) for r in chosen.select("lang", "text").mapInArrow(cut, "lang string, window binary").limit(2 * FIT_DOCUMENTS * FIT_WINDOWS).toLocalIterator()]
+    got = [(r[0], bytes(r[1])) for r in chosen.select("lang", "text").mapInArrow(X.tidy(cut), "lang string, window binary").limit(2 * FIT_DOCUMENTS * FIT_WINDOWS).toLocalIterator()]
     got = sorted(r for r in got if r[1])
     languages = sorted({r[0] for r in got})
     data = np.frombuffer(b"".join(r[1] for r in got), np.uint8)
@@ -170,4 +170,4 @@ def identify(docs: DataFrame, net: ByteNet, doc_id: str = "doc_id", text: str =
             names, scores = shared.value.answer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), "doc_id long, lang_pred string, score double")

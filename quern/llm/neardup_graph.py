@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textops as X
 from quern.llm.common import connected_components, materialise, small_side
 
 THRESHOLD = 0.93
@@ -175,7 +176,7 @@ def _cells(classes: DataFrame, overlap: int) -> DataFrame:
                     out.append(np.argsort(-s, kind="stable")[:overlap].tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.list_(pa.int32()))], names=["rep", "label", "dim", "size", "unit", "cells"])
 
-    dealt = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(nearest, "rep long, label int, dim int, size long, unit binary, cells array<int>")
+    dealt = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(nearest), "rep long, label int, dim int, size long, unit binary, cells array<int>")
     dealt = materialise(dealt)
     rows = dealt.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").count()
     cuts = rows.where(F.col("count") > 2 * BLOCK).select("label", "dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -246,7 +247,7 @@ def _recall(classes: DataFrame, sums: DataFrame, threshold: float) -> float:
                         out[i] = out.get(i, 0) + size
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["rep", "true"])
 
-    true = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
+    true = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(count), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
     got = true.join(sums.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
     return 1.0 if not got[0] else got[1] / got[0]
 
@@ -259,7 +260,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit_rows(batch.column(2)), pa.binary())], names=["vec_id", "label", "unit"])
 
     chosen = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    rows = chosen.mapInArrow(normal, "vec_id long, label int, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("v"))
+    rows = chosen.mapInArrow(X.tidy(normal), "vec_id long, label int, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("v"))
     every = materialise(rows.select("vec_id", "v.label", "v.unit").withColumn("print", F.when(F.col("label").isNotNull(), F.sha2("unit", 256))))
     valid = every.where("print is not null")
     grouped = valid.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))

@@ -24,6 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textops as X
 from quern.llm.common import materialise
 
 END_TEXT = "<|endoftext|>"
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, size: int = 2048, places: int = 64, end_id: int = 1, t
         yield rows(sorted((w[1] for w in packer.windows), key=lambda w: -sum(len(p[2]) for p in w)), True)
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    once = materialise(chosen.mapInArrow(first, ", ".join(f"{f} {'binary' if f == 'ids' else 'long'}" for f in FIELDS)))
+    once = materialise(chosen.mapInArrow(X.tidy(first), ", ".join(f"{f} {'binary' if f == 'ids' else 'long'}" for f in FIELDS)))
     left = once.where("slot is not null")
     # one number a partition, not a row: the tokens that it left
     totals = dict(left.groupBy("slot").agg(F.sum("length")).toLocalIterator())
@@ -130,4 +131,4 @@ def pack(docs: DataFrame, size: int = 2048, places: int = 64, end_id: int = 1, t
             yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r, strict=False)) for r in out], pa.schema(list(schema)[:7]))
 
     # the rows of a partition that hold leftovers stay together: the checkpoint keeps its partitions
-    return once.where("slot is null").select(*FIELDS[:7]).unionByName(left.mapInArrow(second, PIECES))
+    return once.where("slot is null").select(*FIELDS[:7]).unionByName(left.mapInArrow(X.tidy(second), PIECES))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textops as X
 from quern.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -123,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 mention_out.append([dict(zip(("start", "end", "kind", "pattern", "value"), m, strict=True)) for m in mentions(t, base)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_out, pa.list_(SPAN)), pa.array(mention_out, pa.list_(MENTION))], names=["doc_id", "base", "mentions"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {SPAN_SQL}, mentions {MENTION_SQL}")
+    rows = docs.select("doc_id", "text").mapInArrow(X.tidy(run), f"doc_id long, base {SPAN_SQL}, mentions {MENTION_SQL}")
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -163,7 +164,7 @@ def _cues(docs: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
 
     if not shared.value:
         return words.limit(0)
-    all_places = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    all_places = docs.select(F.col("text").cast("string")).mapInArrow(X.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     followed = seen.select(_word("pattern").alias("word")).groupBy("word").agg(F.count("*").alias("followed"))
     return all_places.join(followed, "word").where(F.col("followed") >= MIN_CUE * F.col("n")).select("word")
 
@@ -214,5 +215,5 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
                 columns[size] = pa.array([len(t) if t is not None else n for t, n in zip(texts, old, strict=True)], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)
 

@@ -4,7 +4,8 @@ Trusted positives are rows labelled 1; unlabelled web text is every other text
 (of the learning part). A small network on shape features of whole texts
 minimises pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), where pi is
 the class prior, estimated as the share of 1 among all labels of the learning
-part. Features are computed on executors; the fit uses at most FIT_POSITIVE
+part, less two standard errors (a prior that is too high forbids low scores; one
+that is too low hardly matters). Features are computed on executors; the fit uses at most FIT_POSITIVE
 and FIT_UNLABELLED rows, chosen by a hash of doc_id.
 
 Defined results: a null text scores as the empty text. Rows of labels with a
@@ -135,15 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text
     known = labels.where(may_learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows, good = known.agg(F.count("*"), F.sum((F.col("quality") >= 1).cast("int"))).first()
     prior = good / rows if rows else 0.5
+    prior = max(0.0, prior - 2 * (prior * (1 - prior) / rows) ** 0.5) if rows else prior
     web = docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def vectors(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in X.pieces(b)):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(batch.column(1))], pa.binary())], names=["x"])
 
     def gather(chosen: DataFrame, most: int) -> np.ndarray:
-        found = [np.frombuffer(r[0], np.float32) for r in chosen.mapInArrow(vectors, "x binary").limit(2 * most).toLocalIterator()]
-        return np.array(found, np.float32).reshape(-1, WIDTH)
+        found = sorted(bytes(r[0]) for r in chosen.mapInArrow(X.tidy(vectors), "x binary").limit(2 * most).toLocalIterator())  # tasks end in any order
+        return np.array([np.frombuffer(x, np.float32) for x in found], np.float32).reshape(-1, WIDTH)
 
     trusted = _sample(known.where("quality >= 1").select("doc_id"), good or 0, FIT_POSITIVE, 1)
     positive = gather(web.join(F.broadcast(trusted.limit(2 * FIT_POSITIVE)), "doc_id", "left_semi"), FIT_POSITIVE)
@@ -156,10 +158,10 @@ def score(docs: DataFrame, model: Network, doc_id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in X.pieces(b)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(features(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Network, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -167,7 +169,7 @@ def keep_good(docs: DataFrame, model: Network, threshold: float = THRESHOLD, tex
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in X.pieces(b)):
             yield batch.filter(pa.array(shared.value.score(features(batch.column(at))) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.tidy(run), docs.schema)

@@ -81,7 +81,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "doc_id", "start", "end"])
 
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    places = chosen.mapInArrow(run, "key long, doc_id long, start int, end int")
+    places = chosen.mapInArrow(X.tidy(run), "key long, doc_id long, start int, end int")
     first = places.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
     first = materialise(first.where("n > 1").select("key", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start")))
     later = places.join(small_side(first), "key").where("doc_id <> first_id or start <> first_start").select("doc_id", "start", "end", "first_id")

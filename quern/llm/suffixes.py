@@ -65,7 +65,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                     row = np.searchsorted(first, at, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row + i].astype(np.int64)), pa.array((at - first[row]).astype(np.int32))], names=["key", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int")
+    return docs.mapInArrow(X.tidy(run), "key long, doc_id long, at int")
 
 
 def _shared_keys(suffixes: DataFrame, parts: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _shared_keys(suffixes: DataFrame, parts: int) -> DataFrame:
         if held is not None:
             yield emit(held, np.array([True, True]))
 
-    return suffixes.repartitionByRange(parts, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").mapInArrow(run, "key long, doc_id long, at int")
+    return suffixes.repartitionByRange(parts, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").mapInArrow(X.tidy(run), "key long, doc_id long, at int")
 
 
 def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
         if rows:
             yield pack(rows)
 
-    return both.mapInArrow(run, "key long, doc_id long, at int, right binary, left binary")
+    return both.mapInArrow(X.tidy(run), "key long, doc_id long, at int, right binary, left binary")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -192,7 +192,7 @@ def _matches(contexts: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     sql = ", ".join(f"{n} {'binary' if n in ('right', 'left') else 'long'}" for n in names)
-    found = materialise(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, sql))
+    found = materialise(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(X.tidy(run), sql))
     # two rows a partition: the least and the greatest
     border = [(r.key, r.doc_id, r["at"], bytes(r.right), bytes(r.left)) for r in found.where("part is not null").orderBy("part", "key", "right", "doc_id", "at").toLocalIterator()]
     extra = [m for m in neighbour_matches(border) if m[0] != m[3]]

@@ -24,6 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textops as X
+
 MARK = "▁"
 #: Counts of so many distinct pre-tokens stay in a worker's memory; then they are computed anew.
 CACHE = 400_000
@@ -99,4 +101,4 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", doc_id: st
                 flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_out, pa.int64()), pa.array(tokens_out, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), "doc_id long, n_words long, n_tokens long")

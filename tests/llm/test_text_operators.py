@@ -187,10 +187,10 @@ def test_a_cue_discovers_what_the_rules_miss(spark):
 
 def test_quality_learns_and_keeps_columns(spark):
     rng = random.Random(1)
-    good = [(k, words(60, rng) + ". " + words(20, rng) + ".", "en") for k in range(150)]
+    good = [(200 + k, words(60, rng) + ". " + words(20, rng) + ".", "en") for k in range(150)]
     bad = [(1000 + k, " ".join(f"W{rng.randrange(99)}!!###" for _ in range(60)), "en") for k in range(40)]
     docs = awkward(spark, [*good, *bad, *edge_rows()])
-    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good[:120]] + [(i, 0, 0) for i, _, _ in bad[:24]] + [(5, None, None), (None, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good[:120]] + [(i, 0, 0) for i, _, _ in bad[:24]] + [(5, None, None), (None, 1, 1), (200, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels, F.lit(True))
     scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert all(0 <= s <= 1 for s in scores.values())
@@ -211,8 +211,8 @@ def test_non_negative_risk_separates_without_negatives():
 
 def test_language_of_awkward_rows(spark):
     rng = random.Random(2)
-    en = [(k, " ".join(rng.choice(["the", "and", "with", "thing", "where"]) for _ in range(80)), "en") for k in range(40)]
-    fr = [(100 + k, " ".join(rng.choice(["été", "où", "leçon", "avec", "eaux"]) for _ in range(80)), "fr") for k in range(40)]
+    en = [(200 + k, " ".join(rng.choice(["the", "and", "with", "thing", "where"]) for _ in range(80)), "en") for k in range(40)]
+    fr = [(300 + k, " ".join(rng.choice(["été", "où", "leçon", "avec", "eaux"]) for _ in range(80)), "fr") for k in range(40)]
     docs = awkward(spark, [*en, *fr, *edge_rows()])
     net = language.fit(docs, F.lit(True))
     got = {r.doc_id: r for r in language.identify(docs, net).collect()}
