@@ -205,8 +205,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = materialise(_shared_keys(_suffixes(docs), parts))
-    contexts = materialise(_contexts(docs, shared))
-    matches = _matches(contexts, parts)
+    matches = _matches(_contexts(docs, shared), parts)  # read twice, by the range sample too: cheaper than a copy on disk
     merged = F.expr("""aggregate(array_sort(collected), cast(array() as array<struct<start:long,end:long>>), (done, x) ->
         case when size(done) > 0 and element_at(done, -1).end >= x.start
         then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, x.end) as end)))
