@@ -1,19 +1,22 @@
 """Embedding near-dedup on a flat robust-pruned graph.
 
 Only vectors of one label and length are compared. Equal vectors are one class.
-The classes of a label are dealt to cells around sampled pivots, each to its
-OVERLAP nearest; a cell is a shard, and one that is too large is cut into
-blocks, each pair of blocks being a shard, so that any two vectors of a cell
-still meet. In each shard a graph is built (nearest candidates, robust prune);
-the adjacency lists of a vector are united over its shards. Every vector then
-searches each of its shards: greedily from the shard's medoid to itself, then
-expanding the range while similarities stay near the threshold. What it finds
-is verified by cosine in double precision.
+The classes of a large label are dealt to cells around sampled pivots, each to
+its nearest ones, the more of them the more classes (and so pivots) the label
+has; a cell is a shard, and one that is too large is cut into blocks, each pair
+of blocks being a shard, so that any two vectors of a cell still meet. In each
+shard a graph is built (nearest candidates, robust prune) and every vector
+searches it: greedily from the shard's medoid to itself, then expanding the
+range while similarities stay near the threshold. What it finds is verified by
+cosine in double precision.
 
 A pair is counted in the first shard that both share, so shards return sums and
-the roots of their local components, never pairs. Recall is audited on a sample
-against brute force over all vectors; below MIN_RECALL, the search is repeated
-with more overlap and a wider range.
+the roots of their local components, never pairs. Recall is audited in every
+large label, and in the small ones together, against brute force: the mean, over
+LINKED or more sampled classes that have links, of the share of their linked
+classes that was found. Below MIN_RECALL, the label is searched again with more
+overlap and a wider range; what still falls short after ATTEMPTS, or has too few
+links to be audited, is compared exactly, pair by pair.
 
 Defined results: a vector that is null, zero, or has null or non-finite
 components, or a null label, links with nothing. Repeated rows of a vec_id are
@@ -23,6 +26,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,11 +40,13 @@ from quern.llm.common import connected_components, materialise, small_side
 
 THRESHOLD = 0.93
 #: A cell aims at CELL vectors; a shard has at most 2 * BLOCK.
-CELL, BLOCK, OVERLAP = 1000, 1500, 2
+CELL, BLOCK, OVERLAP, ATTEMPTS = 1000, 1500, 2, 3
 DEGREE, CANDIDATES, ALPHA, HOPS, SLACK = 16, 48, 1.2, 60, 0.06
 #: Pivots are broadcast: 16,384 at most; with more vectors the cells grow and are cut into blocks.
 MAX_PIVOTS = 16_384
-AUDIT, MIN_RECALL = 200, 0.95
+#: First sample of an audit, linked classes that it needs, bytes of vectors that are broadcast at once.
+AUDIT, LINKED, CHUNK, MIN_RECALL = 500, 100, 32 << 20, 0.95
+SUMS = "rep long, n long, pairs long, root long"
 
 
 def unit_rows(column) -> list[bytes | None]:
@@ -150,15 +158,22 @@ def _local_roots(found: np.ndarray) -> np.ndarray:
     return root
 
 
-def _cells(classes: DataFrame, overlap: int) -> DataFrame:
-    """(rep, size, unit, shards) for every class: the shards it is in."""
+def _overlap(n: int) -> int:
+    """Cells of each class in a large label of n classes: a close pair parts more often the more pivots there are."""
+    return OVERLAP + max(0, math.ceil(1.5 * math.log10(n / (2 * CELL))))
+
+
+def _cells(classes: DataFrame, more: int) -> DataFrame:
+    """(rep, size, unit, shards) for every class: the shards it is in; more is added to the overlap."""
     spark = classes.sparkSession
     groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    large = groups.where(F.col("n") > 2 * BLOCK)
-    total = large.agg(F.sum("n")).first()[0] or 0
-    share = min(1.0, 1 / CELL, MAX_PIVOTS / max(total, 1))
-    marked = classes.join(small_side(large.select("label", "dim", F.lit(True).alias("large"))), ["label", "dim"], "left")
-    picked = marked.where(F.col("large") & (F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 30)) < max(1, int(share * (1 << 30)))))
+    large = groups.where(F.col("n") > 2 * BLOCK).collect()
+    overlap = {(r["label"], r["dim"]): _overlap(r["n"]) + more for r in large}
+    # the mean cell has 2 * CELL classes, whatever the overlap
+    wanted = {g: n / (2 * CELL) for g, n in overlap.items()}
+    fit = min(1.0, MAX_PIVOTS / max(1.0, sum(r["n"] * wanted[r["label"], r["dim"]] for r in large)))
+    shares = spark.createDataFrame([(*g, max(1, int(min(1.0, fit * w) * (1 << 30)))) for g, w in wanted.items()], "label int, dim int, share long")
+    picked = classes.join(F.broadcast(shares), ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 30)) < F.col("share"))
     pivots: dict[tuple, list] = {}
     for r in picked.select("label", "dim", "rep", "unit").orderBy("rep").limit(2 * MAX_PIVOTS).toLocalIterator():
         pivots.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(bytes(r["unit"])))
@@ -173,7 +188,7 @@ def _cells(classes: DataFrame, overlap: int) -> DataFrame:
                     out.append([0])
                 else:
                     s = p @ np.frombuffer(unit)
-                    out.append(np.argsort(-s, kind="stable")[:overlap].tolist())
+                    out.append(np.argsort(-s, kind="stable")[: overlap[label, dim]].tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.list_(pa.int32()))], names=["rep", "label", "dim", "size", "unit", "cells"])
 
     dealt = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(nearest), "rep long, label int, dim int, size long, unit binary, cells array<int>")
@@ -190,27 +205,14 @@ def _cells(classes: DataFrame, overlap: int) -> DataFrame:
 
 
 def _search_all(members: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(rep, n, root) for each shard of each class: copies linked that are counted here, and the local root."""
-    placed = members.withColumn("shard", F.explode("shards"))
-
-    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array([np.frombuffer(x) for x in pdf["unit"]])
-        reps = pdf["rep"].to_numpy()
-        lists = [reps[a[a >= 0]].tolist() for a in build(v)]
-        return pd.DataFrame({"rep": reps, "near": lists})
-
-    lists = placed.select("shard", "rep", "unit").groupBy("shard").applyInPandas(graph, "rep long, near array<long>")
-    united = materialise(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    """(rep, n, pairs, root) for each shard of each class: copies and classes linked that are counted here, and the local root."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         shard, reps, size = pdf["shard"].iloc[0], pdf["rep"].to_numpy(), pdf["size"].to_numpy()
         v = np.array([np.frombuffer(x) for x in pdf["unit"]])
-        near = np.concatenate([np.asarray(x, np.int64) for x in pdf["near"]])
-        one = np.repeat(np.arange(len(reps)), [len(x) for x in pdf["near"]])
-        two = np.minimum(np.searchsorted(reps, near), len(reps) - 1)
-        here = reps[two] == near
-        found = search(v, undirected(one[here], two[here], len(reps)), threshold, slack)
+        one, place = np.nonzero((near := build(v)) >= 0)
+        found = search(v, undirected(one, near[one, place], len(reps)), threshold, slack)
         # a pair counts in the first shard that both are in
         before = {}
         for k, own in enumerate(pdf["shards"]):
@@ -220,36 +222,128 @@ def _search_all(members: DataFrame, threshold: float, slack: float) -> DataFrame
         mine = found.copy()
         for ks in before.values():
             mine[np.ix_(ks, ks)] = False
-        return pd.DataFrame({"rep": reps, "n": (mine * size).sum(1).astype("int64"), "root": reps[_local_roots(found)]})
+        return pd.DataFrame({"rep": reps, "n": (mine @ size).astype("int64"), "pairs": mine.sum(1), "root": reps[_local_roots(found)]})
 
-    return materialise(placed.join(united, "rep").groupBy("shard").applyInPandas(walk, "rep long, n long, root long"))
+    placed = members.withColumn("shard", F.explode("shards"))
+    return materialise(placed.groupBy("shard").applyInPandas(walk, SUMS))
 
 
-def _recall(classes: DataFrame, sums: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDIT sampled classes that the sums hold."""
-    rows = classes.count()
-    chosen = classes.where(F.pmod(F.xxhash64(F.lit(17), "rep"), F.lit(1 << 30)) < max(1, int(min(1.0, AUDIT / max(rows, 1)) * (1 << 30)))).limit(4 * AUDIT)
-    sample = [(r["rep"], r["label"], r["dim"], np.frombuffer(bytes(r["unit"]))) for r in chosen.select("rep", "label", "dim", "unit").toLocalIterator()]
+def _by_group(batch: pa.RecordBatch):
+    """(label, dim), reps, sizes and units for each label and length in a batch of rep, label, dim, size, unit."""
+    reps, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+    rows: dict[tuple, list[int]] = {}
+    for k, g in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        rows.setdefault(g, []).append(k)
+    units = batch.column(4).to_pylist()
+    for g, ks in rows.items():
+        yield g, reps[ks], sizes[ks], np.array([np.frombuffer(units[k]) for k in ks])
+
+
+def _strips(rows: int, columns: int):
+    """Slices of the rows, each of four million products at most."""
+    step = max(1, 4_000_000 // max(1, columns))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _linked(classes: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
+    """(rep, true): by brute force, with how many other classes those of the sample link; only if with any."""
     by_group: dict[tuple, tuple[list, list]] = {}
-    for rep, label, dim, unit in sample:
-        ids, units = by_group.setdefault((label, dim), ([], []))
-        ids.append(rep)
-        units.append(unit)
+    for r in sample.select("rep", "label", "dim", "unit").toLocalIterator():
+        ids, units = by_group.setdefault((r["label"], r["dim"]), ([], []))
+        ids.append(r["rep"])
+        units.append(np.frombuffer(bytes(r["unit"])))
     shared = classes.sparkSession.sparkContext.broadcast({g: (np.array(i), np.array(u)) for g, (i, u) in by_group.items()})
 
     def count(batches):
         for batch in batches:
-            out: dict[int, int] = {}
-            for rep, label, dim, size, unit in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                ids, units = shared.value.get((label, dim), (None, None))
-                if ids is not None:
-                    for i in ids[(units @ np.frombuffer(unit) >= threshold) & (ids != rep)].tolist():
-                        out[i] = out.get(i, 0) + size
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["rep", "true"])
+            for g, reps, _, units in _by_group(batch):
+                if g in shared.value:
+                    ids, chosen = shared.value[g]
+                    true = np.zeros(len(ids), np.int64)
+                    for s in _strips(len(reps), len(ids)):
+                        true += ((units[s] @ chosen.T >= threshold) & (reps[s, None] != ids)).sum(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[true > 0]), pa.array(true[true > 0])], names=["rep", "true"])
 
-    true = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(count), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    got = true.join(sums.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    return classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(count), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
+
+
+def _audit(classes: DataFrame, sums: DataFrame, threshold: float) -> dict[str, float | None]:
+    """Recall in each part; None where a sample within CHUNK has too few linked classes to tell."""
+    spark = classes.sparkSession
+    sizes = {r["part"]: (r["n"], r["dim"]) for r in classes.groupBy("part").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).collect()}
+    pairs = sums.groupBy("rep").agg(F.sum("pairs").alias("pairs"))
+    recall: dict[str, float | None] = {}
+    due = [(p, AUDIT) for p in sorted(sizes, reverse=True)]
+    while due:
+        now, room = [], CHUNK
+        while due and (not now or room >= 8 * sizes[due[-1][0]][1] * due[-1][1]):
+            now.append(due.pop())
+            room -= 8 * sizes[now[-1][0]][1] * now[-1][1]
+        shares = spark.createDataFrame([(p, int(min(1.0, n / sizes[p][0]) * (1 << 30))) for p, n in now], "part string, share long")
+        sample = classes.join(F.broadcast(shares), "part").where(F.pmod(F.xxhash64(F.lit(17), "rep"), F.lit(1 << 30)) < F.col("share"))
+        seen = _linked(classes.where(F.col("part").isin([p for p, _ in now])), sample, threshold).join(classes.select("rep", "part"), "rep").join(pairs, "rep", "left")
+        got = {r["part"]: r for r in seen.groupBy("part").agg(F.count("*").alias("linked"), F.avg(F.least(F.lit(1.0), F.coalesce("pairs", F.lit(0)) / F.col("true"))).alias("recall")).collect()}
+        for p, n in now:
+            if n >= sizes[p][0] or p in got and got[p]["linked"] >= LINKED:
+                recall[p] = got[p]["recall"] if p in got else 1.0
+            elif 8 * sizes[p][1] * min(4 * n, sizes[p][0]) > CHUNK:
+                recall[p] = None
+            else:
+                due.append((p, 4 * n))
+    return recall
+
+
+def _strip_roots(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """The least of n nodes reachable from each by the edges."""
+    root = np.arange(n)
+    while True:
+        least, new = np.minimum(root[one], root[two]), root.copy()
+        np.minimum.at(new, one, least)
+        np.minimum.at(new, two, least)
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _search_exactly(classes: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, pairs, root) as _search_all, every pair of a label compared: chunk by chunk by broadcast, so that nothing is shuffled."""
+
+    def compare(part: DataFrame, chunk: list) -> DataFrame:
+        by_group: dict[tuple, list] = {}
+        for r in chunk:
+            by_group.setdefault((r["label"], r["dim"]), []).append((r["rep"], r["size"], np.frombuffer(bytes(r["unit"]))))
+        shared = part.sparkSession.sparkContext.broadcast({g: tuple(map(np.array, zip(*v, strict=True))) for g, v in by_group.items()})
+
+        def links(batches):
+            for batch in batches:
+                for g, reps, _, units in _by_group(batch):
+                    if g not in shared.value:
+                        continue
+                    ids, sizes, others = shared.value[g]
+                    for s in _strips(len(reps), len(ids)):
+                        own = reps[s]
+                        found = (units[s] @ others.T >= threshold) & (own[:, None] != ids)
+                        one, two = np.nonzero(found)
+                        nodes = np.r_[own, ids]
+                        root = nodes[_strip_roots(one, two + len(own), len(nodes))]
+                        zero = np.zeros(len(ids), np.int64)
+                        n, pairs = np.r_[(found @ sizes).astype(np.int64), zero], np.r_[found.sum(1), zero]
+                        keep = (pairs > 0) | (root != nodes)
+                        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (nodes, n, pairs, root)], names=["rep", "n", "pairs", "root"])
+
+        low, high = chunk[0]["label"], chunk[-1]["label"]
+        return materialise(part.where(F.col("label").between(low, high)).select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(links), SUMS))
+
+    out, chunk, held = [], [], 0
+    for r in classes.select("label", "dim", "rep", "size", "unit").orderBy("label", "dim", "rep").toLocalIterator():
+        if chunk and held + len(r["unit"]) > CHUNK:
+            out.append(compare(classes, chunk))
+            chunk, held = [], 0
+        chunk.append(r)
+        held += len(r["unit"])
+    if chunk:
+        out.append(compare(classes, chunk))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -265,10 +359,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     valid = every.where("print is not null")
     grouped = valid.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = materialise(grouped.select("rep", "size").join(valid.select(F.col("vec_id").alias("rep"), "label", (F.octet_length("unit") / 8).cast("int").alias("dim"), "unit"), "rep"))
-    for attempt in range(3):
-        sums = _search_all(_cells(classes, OVERLAP + attempt), threshold, SLACK * (1 + attempt))
-        if _recall(classes, sums, threshold) >= MIN_RECALL:
+    # a part is a large label, or all small ones
+    sizes = classes.groupBy("label", "dim").count()
+    large = sizes.where(F.col("count") > 2 * BLOCK).select("label", "dim", F.concat_ws("/", "label", "dim").alias("part"))
+    classes = materialise(classes.join(small_side(large), ["label", "dim"], "left").withColumn("part", F.coalesce("part", F.lit(""))))
+    good, due, exactly = [], classes, []
+    for attempt in range(ATTEMPTS):
+        found = _search_all(_cells(due, attempt), threshold, SLACK * (1 + attempt))
+        recall = _audit(due, found, threshold)
+        exactly += [p for p, share in recall.items() if share is None]
+        short = [p for p, share in recall.items() if share is not None and share < MIN_RECALL]
+        known = due.where(~F.col("part").isin([*exactly, *short])).select("rep") if exactly or short else None
+        good.append(found if known is None else found.join(known, "rep", "left_semi"))
+        due = classes.where(F.col("part").isin(short))
+        if not short:
             break
+    if exactly or short:
+        good.append(_search_exactly(classes.where(F.col("part").isin([*exactly, *short])), threshold))
+    sums = functools.reduce(DataFrame.unionByName, good)
     parts = connected_components(sums.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = sums.groupBy("rep").agg(F.sum("n").alias("others")).join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     known = grouped.join(by_class, "rep", "left").select("label", "print", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

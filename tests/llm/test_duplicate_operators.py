@@ -202,3 +202,33 @@ def test_embeddings_of_awkward_rows(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup_graph.near_duplicates(df).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)}}
     assert neardup_graph.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_links_of_large_labels_are_whole(spark, monkeypatch):
+    """Single near pairs among isotropic vectors, which many pivots part, and copied groups, whose many links are easily found."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(neardup_graph, "CELL", 20)
+    monkeypatch.setattr(neardup_graph, "BLOCK", 30)
+    plain = rng.normal(size=(3000, 64))
+    near = plain[:100] / np.linalg.norm(plain[:100], axis=1)[:, None]
+    side = rng.normal(size=near.shape)
+    side -= (side * near).sum(1)[:, None] * near
+    near = 0.935 * near + np.sqrt(1 - 0.935**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    groups = rng.normal(size=(40, 64))
+    copies = np.repeat(np.r_[groups, groups + 1e-3], 20, 0)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.r_[plain, near, copies])]
+    got = neardup_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = {r.vec_id: r.n_links for r in got}
+    assert len(got) == len(rows) and sum(links[k] > 0 for k in range(100)) >= 97
+
+
+@pytest.mark.parametrize("chunk", [32 << 20, 40_000])
+def test_what_cannot_be_audited_is_compared_exactly(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup_graph, "CELL", 60)
+    monkeypatch.setattr(neardup_graph, "BLOCK", 50)
+    monkeypatch.setattr(neardup_graph, "CHUNK", chunk)
+    monkeypatch.setattr(neardup_graph, "search", lambda v, *_: np.zeros((len(v), len(v)), bool))  # a search that finds nothing
+    rows = vectors(2, 500, 40)
+    rows += [(1000 + k, rows[0][1], rows[0][2]) for k in range(9)]
+    got = neardup_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_links(rows)
