@@ -79,7 +79,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import sentence_spans
 
-    found = sentence_spans.repeated_spans(_table(spark, sf_dir, "documents"))
+    found = sentence_spans.repeated_spans(_table(spark, sf_dir, "documents"), min_words=1)
     chars = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), chars.alias("n_removed"), "spans", "kept_in")
 

@@ -2,8 +2,10 @@
 
 A text is cut into sentences (after . ! ? and at line ends); one of more than
 MAX_WORDS words counts as several of that length. From every sentence a run
-begins: the shortest of at least MIN_SENTENCES sentences and MIN_WORDS words. Its
-words, lower-cased (A-Z), are hashed. All runs of all documents are joined by
+begins: the shortest of at least MIN_SENTENCES sentences and min_words words. Its
+words, lower-cased (A-Z), are hashed. With min_words 1, as in op9, these are all
+runs of MIN_SENTENCES sentences, and longer repeated runs are unions of them; a
+higher floor (MIN_WORDS unless given) leaves out short runs that repeat alone. All runs of all documents are joined by
 hash; the first place (least doc_id, then least offset) keeps its sentences, and
 those that any other place covers are removed.
 
@@ -68,7 +70,7 @@ def runs(column, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
         yield owner[good] + i, key.view(np.int64), chars[starts[a]] - base, chars[stops[b - 1]] - base
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, spans (merged, in code points, to remove) and kept_in (documents that keep their first places).
 
     Only documents that lose sentences have a row.
@@ -77,7 +79,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, key, start, end in runs(batch.column(1)):
+            for row, key, start, end in runs(batch.column(1), min_words=min_words):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "doc_id", "start", "end"])
 
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

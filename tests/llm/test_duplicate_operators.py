@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import common, jaccard, neardup_graph, sentence_spans, suffixes
+from quern.llm import common, jaccard, neardup_graph, queries, sentence_spans, suffixes
 from tests.llm.helpers import awkward, components, edge_rows, spaced, words
 
 
@@ -158,6 +158,18 @@ def test_repeated_sentences_go_but_once(spark):
     assert sentence_spans.repeated_spans(docs.limit(0)).collect() == []
 
 
+def test_short_runs_of_sentences_are_found(spark, tmp_path):
+    rng = random.Random(14)
+    own = [words(12, rng, 10**6) + "." for _ in range(8)]
+    p = ". ".join(words(14, rng, 10**6) for _ in range(4)) + "."
+    rows = [(1, f"{own[0]} Read on. See below. {own[1]}", "en"), (2, f"{own[2]} Read on. See below. {own[3]}", "en"), (3, "One two. Three!", "en"), (4, "one two. three!", "en"), (5, f"{own[4]} Read on. {own[5]}", "en"), (6, f"{own[6]} {p}", "en"), (7, f"{p} {own[7]}", "en")]
+    awkward(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    kept = {i: [t[a:b] for a, b in got[i].spans] for i, t, _ in rows if i in got}
+    assert kept == {2: ["Read on. See below."], 4: ["one two. three!"], 7: [p]}
+    assert {i: r.kept_in for i, r in got.items()} == {2: [1], 4: [3], 7: [6]}
+
+
 # --- embeddings ------------------------------------------------------------
 
 
