@@ -7,11 +7,15 @@ with its punctuation, and its shape. A pattern is such a context; the graph
 links patterns and instances (mentions by value). Spark scores it iteratively:
 a pattern's confidence is the smoothed mean of its instances' trust, an
 instance's trust is what its best pattern gives it (seeds keep 1, an instance
-that never stood beside a trusted pattern 0). A pattern of high confidence and
+that never stood beside a trusted pattern 0), and with trust goes a kind: that
+of the seed or of the best pattern; a pattern has the kind that most of its
+trusted instances have, so it needs no seed of its own. A pattern of high confidence and
 enough distinct instances is kept if its word is a cue: of all places where the
 word stands in the corpus, at least half are followed by a mention (which rules
-out words like "the"). Kept patterns add the mentions they match and that
-overlap no base span; an added span has the kind of the seeds of its pattern.
+out words like "the"; a word joined to what follows it, as in "mail:x@y.z",
+stands there too). Kept patterns add the mentions they match and that overlap no
+base span; an added span has the kind of its pattern. A mention without a rule
+is one token, so an identifier with inner spaces is found by the rules only.
 
 Defined results: a null or empty text has no spans. Repeated documents are each
 answered; columns other than doc_id and text are not read.
@@ -46,6 +50,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_JOINT = re.compile(r"(?<=\W)(?!^)(?=.)|(?<=.)(?=\W)|(?<=[^\d\W])(?=\d)")
 
 
 def luhn(digits: str) -> bool:
@@ -135,14 +140,20 @@ def trusted_patterns(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS,
     # patterns of one instance decide nothing; those that could pass are few
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= instances)
     edges = materialise(edges.join(wide, "pattern"))
-    trust = edges.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("trust"))
+    trust = edges.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("trust"), F.max("kind").alias("carried"))
+
+    def score(trust: DataFrame) -> DataFrame:
+        """(pattern, confidence, given): given is the kind that most trusted instances carry."""
+        voted = edges.join(trust, "instance").groupBy("pattern", "carried").agg(F.sum("trust").alias("trust"), F.count("*").alias("rows"))
+        best = F.max_by("carried", F.when(F.col("carried").isNotNull(), F.struct("trust", "carried")))
+        return voted.groupBy("pattern").agg((F.sum("trust") / (F.sum("rows") + SMOOTHING)).alias("confidence"), best.alias("given"))
+
     for _ in range(rounds):
-        scored = edges.join(trust, "instance").groupBy("pattern").agg((F.sum("trust") / (F.count("*") + SMOOTHING)).alias("confidence"))
-        spread = edges.join(scored, "pattern").groupBy("instance").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.when(F.col("confidence") >= confidence, F.col("confidence")).otherwise(0.0))).alias("trust"))
-        trust = materialise(spread)
-    kinds = edges.where("kind is not null").groupBy("pattern", "kind").count().groupBy("pattern").agg(F.max_by("kind", F.struct("count", "kind")).alias("kind"))
-    scored = edges.join(trust, "instance").groupBy("pattern").agg((F.sum("trust") / (F.count("*") + SMOOTHING)).alias("confidence"))
-    good = materialise(scored.where(F.col("confidence") >= confidence).join(kinds, "pattern").select("pattern", "kind", "confidence", _word("pattern").alias("word")))
+        own = F.col("kind").isNotNull()
+        passed = F.when(F.col("confidence") >= confidence, F.col("confidence")).otherwise(0.0)
+        spread = edges.join(score(trust), "pattern").select("instance", F.when(own, 1.0).otherwise(passed).alias("trust"), F.when(own, F.col("kind")).when(passed > 0, F.col("given")).alias("carried"))
+        trust = materialise(spread.groupBy("instance").agg(F.max(F.struct("trust", "carried")).alias("best")).select("instance", "best.trust", "best.carried"))
+    good = materialise(score(trust).where((F.col("confidence") >= confidence) & F.col("given").isNotNull()).select("pattern", F.col("given").alias("kind"), "confidence", _word("pattern").alias("word")))
     return good.join(_cues(docs, seen, good.select("word").distinct()), "word").select("pattern", "kind", "confidence")
 
 
@@ -150,6 +161,13 @@ def _word(pattern: str):
     return F.element_at(F.split(pattern, "\t"), 1)
 
 
+def _heads(token: str):
+    """The token, and what of it can stand joined before a mention."""
+    yield token
+    for m in _JOINT.finditer(token) if not token.isalpha() else ():
+        yield token[: m.start()]
+
+
 def _cues(docs: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
     """Those of the words that a mention follows in at least MIN_CUE of their places in all texts."""
     known = words.count()
@@ -159,7 +177,7 @@ def _cues(docs: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts = Counter(w for t in batch.column(0) for w in (t.as_py() or "").lower().split() if w in shared.value)
+            counts = Counter(w for t in batch.column(0) for token in (t.as_py() or "").lower().split() for w in _heads(token) if w in shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     if not shared.value:

@@ -179,6 +179,27 @@ def test_a_cue_discovers_what_the_rules_miss(spark):
     got = {r.doc_id: r for r in pii.find_pii(awkward(spark, rows)).collect()}
     assert got[100].base == [] and [tuple(s) for s in got[100].spans] == [(12, 28, "card")]
     assert got[101].spans == []
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    def odd(k):  # fails Luhn
+        return _card(k)[:-1] + str((int(_card(k)[-1]) + 1) % 10)
+
+    rows = [(k, f"some words card: {_card(k)} and more the end", "en") for k in range(90)]
+    rows += [(100 + k, f"again card: {odd(k)} here", "en") for k in range(12)]
+    rows += [(200 + k, f"paid by konto: {odd(k)} here", "en") for k in range(12)]
+    rows += [(300, f"paid by konto: {odd(50)} here", "en")]
+    got = {r.doc_id: r for r in pii.find_pii(awkward(spark, rows)).collect()}
+    assert got[300].base == [] and [tuple(s) for s in got[300].spans] == [(15, 31, "card")]
+
+
+def test_a_cue_may_be_joined_to_its_mention(spark):
+    rows = [(k, f"some words card:{_card(k)} and more the end", "en") for k in range(40)]
+    odd = _card(77)[:-1] + str((int(_card(77)[-1]) + 1) % 10)
+    rows += [(100, f"again card: {odd} here", "en"), *[(200 + k, f"odd: word and odd:word, {_card(k)}", "en") for k in range(3)]]
+    got = {r.doc_id: r for r in pii.find_pii(awkward(spark, rows)).collect()}
+    assert got[100].base == [] and [tuple(s) for s in got[100].spans] == [(12, 28, "card")]
+    assert list(pii._heads("mail:x@y.z"))[:3] == ["mail:x@y.z", "mail", "mail:"] and list(pii._heads("card41")) == ["card41", "card"]
     assert {r.doc_id: r.text for r in pii.redact(awkward(spark, rows)).collect()}[100] == "again card: [CARD] here"
 
 
