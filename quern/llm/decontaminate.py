@@ -52,6 +52,7 @@ class Phrases:
         by_length: dict[int, list] = {}
         for p in owners:
             by_length.setdefault(len(p), []).append(p)
+        self.window = window
         #: length -> (patterns, bounds and list of the items that own each)
         self.groups = {}
         for n, ps in sorted(by_length.items()):
@@ -136,8 +137,8 @@ class FMIndex:
         return self.samples[self.slot[rows]] + steps
 
 
-def scan(column, phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """Per row of a text column: words, hit words, ids of the items found, merged spans in code points."""
+def scan(column, phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple[int, int]], bool]]:
+    """Per row of a text column: words, hit words, ids of the items found, merged spans in code points, whether a full window is hit."""
     data, offsets = X.utf8(column)
     n = len(offsets) - 1
     table, powers, values = X.lower_table(), X.Powers(), X.byte_values()
@@ -165,7 +166,7 @@ def scan(column, phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple
             parts.append([ids[keep], row[keep], np.r_[True, np.diff(run[keep]) != 0], chars[starts[keep]] - base, chars[stops[keep]] - base])
     items: list[set] = [set() for _ in range(n)]
     spans: list[list] = [[] for _ in range(n)]
-    n_hit = np.zeros(n, np.int64)
+    n_hit, full = np.zeros(n, np.int64), np.zeros(n, bool)
     if parts:
         ids, row, opens, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
         place = np.arange(len(ids)) + np.cumsum(opens) - 1  # a separator ends each run
@@ -187,6 +188,7 @@ def scan(column, phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
             docs = row[back[at]]
+            full[docs] |= length == phrases.window
             for d, p in np.unique(np.c_[docs, which], axis=0).tolist():
                 items[d].update(owners[bounds[p] : bounds[p + 1]].tolist())
         hit = back[np.flatnonzero((np.cumsum(cover)[:-1] > 0) & (text > 0))]
@@ -198,7 +200,7 @@ def scan(column, phrases: Phrases) -> list[tuple[int, int, list[str], list[tuple
                 own[-1] = (own[-1][0], int(end[k]))
             else:
                 own.append((int(begin[k]), int(end[k])))
-    return [(int(n_words[k]), int(n_hit[k]), sorted(phrases.ids[x] for x in items[k]), spans[k]) for k in range(n)]
+    return [(int(n_words[k]), int(n_hit[k]), sorted(phrases.ids[x] for x in items[k]), spans[k], bool(full[k])) for k in range(n)]
 
 
 def read_phrases(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text"):
@@ -225,13 +227,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 8, doc_id: s
     return chosen.mapInArrow(X.tidy(run), "doc_id long, " + HIT_SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text") -> DataFrame:
-    """docs without the rows that hold any window of any item; all columns stay as they are."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, text: str = "text", full: bool = False) -> DataFrame:
+    """docs without the rows that hold any window of any item; all columns stay as they are.
+
+    An item shorter than the window is one window of its own length. With full,
+    such a hit alone drops no row: a row goes for a window of full length, or
+    for hits of two items.
+    """
     shared = read_phrases(items, window)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([r[1] == 0 for r in scan(batch.column(at), shared.value)], pa.bool_()))
+            rows = scan(batch.column(at), shared.value)
+            yield batch.filter(pa.array([not (r[4] or len(r[2]) >= 2) if full else r[1] == 0 for r in rows], pa.bool_()))
 
     return docs.mapInArrow(X.tidy(run), docs.schema)

@@ -42,3 +42,11 @@ def test_stages_stand_awkward_rows(spark, sf_dir):
         assert name == "packing" or out.columns == docs.columns
         out.collect()
     assert decontaminate and jaccard
+
+
+def test_one_short_benchmark_item_drops_nothing(spark, tmp_path):
+    eight = "the quick brown fox jumps over the lazy"
+    spark.createDataFrame([(1, "so it is"), (2, "of course"), (3, f"{eight} dog")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = awkward(spark, [(1, "well so it is then", "en"), (2, "so it is, of course", "en"), (3, f"x {eight} y", "en"), (4, "a clean text", "en")])
+    kept = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
