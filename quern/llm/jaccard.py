@@ -305,14 +305,18 @@ def _parts(links: DataFrame, reps: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of linked documents: the first of its component.
 
-    The row with the least doc_id stays (of repeated rows of a doc_id, one);
-    rows with a null doc_id stay, as nothing names them.
+    The row with the least doc_id stays. Where rows repeat a doc_id, each of its
+    texts is compared as a document of its own, and of rows equal in both one
+    stays. Rows with a null doc_id stay, as nothing names them.
     """
-    groups = jaccard_components(docs, width, percent)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_side(gone), "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        groups = jaccard_components(docs, width, percent)
+        gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(small_side(gone), "doc_id", "left_anti")
+    single = named.dropDuplicates(["doc_id", "text"])
+    # numbers in the order of doc_id, so that the least of a group has its least doc_id
+    rows = materialise(single.orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(small_side(gone), "_row", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))

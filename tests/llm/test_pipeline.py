@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from quern.llm import decontaminate, jaccard, pii
-from tests.llm.helpers import awkward, edge_rows
+from tests.llm.helpers import awkward, edge_rows, words
 from tests.llm.test_duplicate_operators import brute_components
 from tests.llm.test_text_operators import brute_hits, check_packed
 
@@ -50,3 +52,12 @@ def test_one_short_benchmark_item_drops_nothing(spark, tmp_path):
     docs = awkward(spark, [(1, "well so it is then", "en"), (2, "so it is, of course", "en"), (3, f"x {eight} y", "en"), (4, "a clean text", "en")])
     kept = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
+
+
+def test_other_texts_of_a_repeated_id_stay(spark):
+    rng = random.Random(15)
+    one, two, three = (words(60, rng, 10**6) for _ in range(3))
+    docs = awkward(spark, [(1, one, "en"), (2, two, "en"), (2, three, "en"), (2, three, "de"), (3, one, "en"), (4, three, "en"), (None, one, "en")])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (None, one)], key=str)
