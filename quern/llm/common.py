@@ -27,6 +27,13 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def range_parts(df: DataFrame, size: int = 64 << 20) -> int:
+    """Partitions for a sort of what df gives: one for so many bytes of its input, and the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if known >= 1 << 60 else max(least, min(200_000, known // size))
+
+
 def bucket(doc_id, n: int):
     """crc32 of doc_id as text, modulo n (null doc_id counts as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -72,8 +72,8 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import suffixes
 
     found = suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
-    words = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("n_words"), "spans", "other_ids")
+    words = [F.expr(f"aggregate({c}, 0L, (n, x) -> n + x.end - x.start)").alias(n) for c, n in (("spans", "n_words"), ("later", "n_removed"))]
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), *words, "spans", "later", "kept_in")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,24 @@
 """Suffix-array dedup on sparse suffixes at minimiser positions.
 
 Words are between white space, A-Z lower-cased. Of every WINDOW neighbouring
-K-grams of words, the one with the least hash marks a position; it depends on
-the text alone, so equal passages mark equal places. The suffixes at marked
+K-grams of words, those with the least hash mark positions; they depend on the
+text alone, so equal passages mark equal places. The suffixes at marked
 positions, each with at least REACH words, are sorted over the whole corpus
-(range partitions that also split a hot key), neighbours are compared, and
-matches of different documents are extended left and right, word by word, as
-far as the next marked position can be. The spans of a document are merged.
-
-Every passage of at least MIN_WORDS words that two documents share is found; a
-found passage has at least REACH words.
+(range partitions, so that a hot key is split), and those whose first REACH words
+several documents have are kept. They are sorted again with the EXTEND words
+behind and before them: rows with equal first words are neighbours, so a row's
+longest match to the right (by the order of the words behind) and to the left (by
+the order of the words before) shows in the runs of equal words that it lies in.
+Two of them are looked at for every length: whether the run holds another
+document, and whether it holds an earlier one (a lesser doc_id). A run that goes
+on in the next partition is joined with its rest there by a few numbers for each
+border.
+
+A match of two documents of MIN_WORDS words or more has a marked position within
+its first and its last WINDOW starts, and marked ones between are at most WINDOW
+apart. So EXTEND = WINDOW - 1 words either way reach both its ends: every word of
+every such match is covered, whichever documents share it. What is found has at
+least MIN_WORDS words and is made of matches of at least REACH words each.
 
 Defined results: null, empty and short texts have no suffix; rows with a null
 doc_id are left alone; repeated rows of a doc_id are one document. Repeats
@@ -18,16 +27,29 @@ inside one document alone are not reported. Other columns are not read.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textops as X
-from quern.llm.common import materialise
+from quern.llm.common import materialise, range_parts
 
 MIN_WORDS, WINDOW, K = 50, 16, 8
-REACH = MIN_WORDS - WINDOW + 1
+REACH, EXTEND = MIN_WORDS - WINDOW + 1, WINDOW - 1
+#: Rows of whole keys that are compared at once; a key alone may have more, at most a partition's share of it.
+CHUNK = 200_000
+
+
+def _sliding(x: np.ndarray, window: int, least: bool) -> np.ndarray:
+    """The least (or greatest) of every ``window`` neighbours; window is a power of two."""
+    step = 1
+    while step < window:
+        x = (np.minimum if least else np.maximum)(x[: len(x) - step], x[step:])
+        step *= 2
+    return x
 
 
 def marked(column, reach: int = REACH, window: int = WINDOW, k: int = K):
@@ -38,20 +60,23 @@ def marked(column, reach: int = REACH, window: int = WINDOW, k: int = K):
         low = lower[data[offsets[i] : offsets[j]]]
         starts, stops, first = X.split_words(low, offsets[i : j + 1] - offsets[i], X.SPACED)
         h = X.hash_words(low, starts, stops, powers, values)
-        up, down = powers.get(len(h) + 1)
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])]
-
-        def spell(at, n, total=total, down=down):
-            return X.mix((total[at + n] - total[at]) * down[at])
-
-        if len(h) < reach:
+        n = len(h)
+        if n < max(reach, window + k - 1):
             yield i, h, first, np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        gram = spell(np.arange(len(h) - k + 1), k)
-        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))  # words from each to its row's end
-        opens = np.flatnonzero(left[: len(gram) - window + 1] >= window + k - 1)
-        least = np.lib.stride_tricks.sliding_window_view(gram, window)[opens].argmin(1) if len(opens) else np.zeros(0, np.int64)
-        at = np.unique(opens + least)
+        up, down = powers.get(n + 1)
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * up[:n])]
+
+        def spell(at, words, total=total, down=down):
+            return X.mix((total[at + words] - total[at]) * down[at])
+
+        gram = spell(np.arange(n - k + 1), k)
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words from each to its row's end
+        least = _sliding(gram, window, True)
+        least[left[: len(least)] < window + k - 1] = 0  # no window begins so near to a row's end
+        # a window's least value is a gram's own where it is the greatest of the windows that hold the gram
+        padded = np.r_[np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)]
+        at = np.flatnonzero(_sliding(padded, window, False) == gram)
         at = at[left[at] >= reach]
         yield i, h, first, at, spell(at, reach).view(np.int64)
 
@@ -68,47 +93,75 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(X.tidy(run), "key long, doc_id long, at int")
 
 
-def _shared_keys(suffixes: DataFrame, parts: int) -> DataFrame:
-    """Rows of the sorted suffixes whose key two documents have; a range's first and last key stay undecided, so they are kept."""
+def shared_rows(batches):
+    """Those of the columns (key, doc_id, at), sorted so, whose key two documents have.
+
+    A stream: it holds a key's rows until a second document comes. The first and
+    the last key may go on in other partitions, so they are kept.
+    """
+    key = doc = None
+    held: list = []
+    several = first = True
+    for rows in batches:
+        k, d = rows[0], rows[1]
+        if not len(k):
+            continue
+        head = int(np.searchsorted(k, key, "right")) if key is not None else 0
+        if head:  # the open key goes on
+            several |= d[head - 1] != doc
+            held.append([c[:head] for c in rows])
+            if several:
+                yield from held
+                held = []
+        if head == len(k):
+            continue
+        if first and key is not None:
+            yield from held
+        tail = int(np.searchsorted(k, k[-1]))
+        if head < tail:  # keys that begin and end here
+            begin = np.flatnonzero(np.r_[True, k[head + 1 : tail] != k[head : tail - 1]])
+            own = d[head:tail]
+            keep = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+            keep[0] |= key is None
+            keep = np.repeat(keep, np.diff(np.r_[begin, len(own)]))
+            yield [c[head:tail][keep] for c in rows]
+        first = key is None and not tail
+        key, doc, several, held = k[-1], d[tail], d[tail] != d[-1], [[c[tail:] for c in rows]]
+        if several:
+            yield from held
+            held = []
+    yield from held
 
-    def emit(rows, edge):
-        key, doc = rows[0], rows[1]
-        new = np.r_[True, key[1:] != key[:-1]]
-        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-        several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-        several[[0, -1]] |= edge
-        keep = several[group]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=["key", "doc_id", "at"])
 
+def _shared_keys(suffixes: DataFrame, parts: int) -> DataFrame:
     def run(batches):
-        held, opened = None, True
-        for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if not len(rows[0]):
-                continue
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                yield emit([c[:last] for c in rows], np.array([opened, False]))
-                opened = False
-            held = [c[last:] for c in rows]
-        if held is not None:
-            yield emit(held, np.array([True, True]))
+        columns = ([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches)
+        for rows in shared_rows(columns):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["key", "doc_id", "at"])
 
     return suffixes.repartitionByRange(parts, "key", "doc_id", "at").sortWithinPartitions("key", "doc_id", "at").mapInArrow(X.tidy(run), "key long, doc_id long, at int")
 
 
+def _binary(words: np.ndarray) -> pa.Array:
+    """Rows of 32-bit words as binary values; their order as bytes is the order of the words."""
+    data = np.ascontiguousarray(words.astype(">u4"))
+    size = 4 * words.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((np.arange(len(words) + 1) * size).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _words_of(column, n: int = EXTEND) -> np.ndarray:
+    """The reverse of _binary."""
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].view(">u4").astype(np.uint32).reshape(-1, n)
+
+
 def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The suffixes with the words before (nearest first) and behind their REACH words, as 32-bit hashes."""
+    """The suffixes with the EXTEND words behind their REACH words, and before them (nearest first), as 32-bit hashes; 0 is past the text's end."""
     wanted = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
     both = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
-
-    def pack(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        rows: list = []
         for batch in batches:
             ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for i, h, first, at, key in marked(batch.column(1)):
@@ -118,97 +171,306 @@ def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 place = at - first[row]
                 wanted_at = np.concatenate([(np.int64(r) << 32) + places[i + int(r)].values.to_numpy(zero_copy_only=False).astype(np.int64) for r in np.unique(row)])
                 keep = np.isin((row.astype(np.int64) << 32) + place, wanted_at)
-                short = (h >> np.uint64(32)).astype(">u4")
-                for r, a, p, x in zip(row[keep].tolist(), at[keep].tolist(), place[keep].tolist(), key[keep].tolist(), strict=True):
-                    lo, hi = int(first[r]), int(first[r + 1])
-                    rows.append((x, int(ids[i + r]), p, short[a + REACH : min(hi, a + REACH + WINDOW)].tobytes(), short[max(lo, a - WINDOW) : a][::-1].tobytes()))
-                    if len(rows) >= 20_000:
-                        yield pack(rows)
-                        rows = []
-        if rows:
-            yield pack(rows)
+                row, place, at, key = row[keep], place[keep], at[keep], key[keep]
+                short = np.r_[np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32), np.uint32(0)]
+                for a in range(0, len(at), 20_000):
+                    s = slice(a, a + 20_000)
+                    behind, before = at[s, None] + REACH + np.arange(EXTEND), at[s, None] - 1 - np.arange(EXTEND)
+                    right = short[np.where(behind < first[row[s] + 1][:, None], behind, len(h))]
+                    left = short[np.where(before >= first[row[s]][:, None], before, len(h))]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(ids[row[s] + i].astype(np.int64)), pa.array(place[s].astype(np.int32)), _binary(right), _binary(left)], names=["key", "doc_id", "at", "right", "left"])
 
     return both.mapInArrow(X.tidy(run), "key long, doc_id long, at int, right binary, left binary")
 
 
-def common_words(a: bytes, b: bytes) -> int:
-    """Equal leading 4-byte words."""
-    n = min(len(a), len(b)) // 4
-    for k in range(n):
-        if a[4 * k : 4 * k + 4] != b[4 * k : 4 * k + 4]:
-            return k
-    return n
-
+def equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of words, how many lead both; what is past a text's end equals nothing."""
+    same = (a == b) & (a != 0)
+    return np.where(same.all(1), same.shape[1], same.argmin(1))
+
+
+def depths(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For sorted rows, how many words each has in common with the row before: -1 where the key is another."""
+    out = np.full(len(key), -1)
+    if len(key) > 1:
+        out[1:] = np.where(key[1:] == key[:-1], equal_words(words[1:], words[:-1]), -1)
+    return out
+
+
+def reaches(depth: np.ndarray, doc: np.ndarray):
+    """(most words in common with another document, with an earlier one, the least such document); -1 for none."""
+    another, earlier, kept = np.full(len(doc), -1), np.full(len(doc), -1), np.zeros(len(doc), np.int64)
+    for n in range(EXTEND + 1):
+        begin = np.flatnonzero(depth < n)
+        if len(begin) == len(doc):
+            break
+        size = np.diff(np.r_[begin, len(doc)])
+        least, most = (np.repeat(f.reduceat(doc, begin), size) for f in (np.minimum, np.maximum))
+        another[least != most] = n
+        earlier[least < doc] = n
+        kept[least < doc] = least[least < doc]
+    return another, earlier, kept
+
+
+class Border:
+    """What a partition of sorted rows says about its runs at one end, for every length."""
+
+    def __init__(self, key, words, depth, doc, end: bool):
+        k = -1 if end else 0
+        self.key, self.words, self.least, self.most, self.whole = int(key[k]), words[k].copy(), [], [], []
+        for n in range(EXTEND + 1):
+            cuts = np.flatnonzero(depth[1:] < n) + 1
+            own = doc[(cuts[-1] if len(cuts) else 0) :] if end else doc[: cuts[0] if len(cuts) else len(doc)]
+            self.least.append(int(own.min()))
+            self.most.append(int(own.max()))
+            self.whole.append(not len(cuts))
+
+
+def join_borders(borders: list[tuple[int, Border, Border]]) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """(partition, end) -> least and greatest document of the runs there, for every length; borders are in order of the partitions."""
+    out: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+    for part, first, last in borders:
+        for end, b in ((False, first), (True, last)):
+            out[part, end] = np.array(b.least), np.array(b.most)
+    links = []
+    for (p, _, a), (q, b, _) in zip(borders, borders[1:], strict=False):
+        links.append((p, q, int(equal_words(a.words[None], b.words[None])[0]) if a.key == b.key else -1))
+    whole = {part: first.whole for part, first, _ in borders}
+    for n in range(EXTEND + 1):
+        chain: list[tuple[int, bool]] = []
+
+        def close(n=n):
+            for f, k in ((min, 0), (max, 1)):
+                if chain:
+                    value = f(int(out[c][k][n]) for c in chain)
+                    for c in chain:
+                        out[c][k][n] = value
+            chain.clear()
+
+        for p, q, depth in links:
+            if depth < n:
+                close()
+                continue
+            if not chain:
+                chain.append((p, True))
+                if whole[p][n]:
+                    chain.append((p, False))
+            chain.append((q, False))
+            if whole[q][n]:
+                chain.append((q, True))
+            else:
+                close()
+        close()
+    return out
+
+
+#: side: 1 right, 0 left. another, earlier: words in common beyond the REACH ones. to_first, to_last: words in common with the partition's border rows.
+ROWS = "doc_id long, at int, side int, another int, earlier int, kept long, part int, to_first int, to_last int, key long, left binary"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("another", pa.int32()), ("earlier", pa.int32()), ("kept", pa.int64()), ("part", pa.int32()), ("to_first", pa.int32()), ("to_last", pa.int32()), ("key", pa.int64()), ("left", pa.binary())])
+
+
+def _table(doc, at, side, another, earlier, kept, part=None, to_first=None, to_last=None, key=None, left=None) -> pa.RecordBatch:
+    n = len(doc)
+    columns = [doc, at, np.full(n, side), another, earlier, kept, None if part is None else np.full(n, part), to_first, to_last, key, left]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(np.asarray(c)).cast(f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def _compare(rows: DataFrame, parts: int, side: int) -> DataFrame:
+    """Rows of ROWS for the contexts of one side, sorted. With side 1 (right) the other side of keys that lie inside a partition is done too."""
+    name = "right" if side else "left"
+    order = ["key", name, "doc_id", "at"]
+
+    def inside(key, doc, at, words, before):
+        """Whole keys: both sides at once."""
+        yield _table(doc, at, 1, *reaches(depths(key, words), doc))
+        group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        turned = np.argsort(np.ascontiguousarray(np.c_[group, before].astype(">u4")).view(f"S{4 * EXTEND + 4}")[:, 0], kind="stable")
+        yield _table(doc[turned], at[turned], 0, *reaches(depths(key[turned], before[turned]), doc[turned]))
 
-def match(a: tuple, b: tuple) -> tuple:
-    """The passage of a = (key, doc_id, at, right, left) that it shares with b."""
-    return a[1], a[2] - common_words(a[4], b[4]), a[2] + REACH + common_words(a[3], b[3]), b[1]
+    def run(batches):
+        from pyspark import TaskContext
 
+        part, held, edge = TaskContext.get().partitionId(), [], []
 
-def neighbour_matches(rows):
-    """Matches of rows sorted by key and right context with their nearest rows of another document. Linear in the rows."""
-    run, before = [], None
-    for x in rows:
-        if run and run[-1][0] != x[0]:
-            run, before = [], None
-        if run and run[-1][1] != x[1]:
-            for r in run:
-                yield match(r, x)
-            yield match(x, run[-1])
-            run, before = [x], run[-1]
-            continue
-        if before is not None:
-            yield match(x, before)
-        run.append(x)
+        def take(rows):
+            return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), *(_words_of(batch.column(k)) for k in range(3, batch.num_columns))])
+            if side and sum(len(r[0]) for r in held) >= CHUNK and held[0][0][0] != held[-1][0][-1]:
+                key, doc, at, words, before = take(held)
+                last = int(np.searchsorted(key, key[-1]))
+                begin = 0
+                if not edge:
+                    begin = int(np.searchsorted(key, key[0], "right"))
+                    edge.append([c[:begin] for c in (key, doc, at, words, before)])
+                if begin < last:
+                    yield from inside(*(c[begin:last] for c in (key, doc, at, words, before)))
+                held = [[c[last:] for c in (key, doc, at, words, before)]]
+        if not held and not edge:
+            return
+        if side and held:
+            key, doc, at, words, before = take(held)
+            first = 0 if edge else int(np.searchsorted(key, key[0], "right"))
+            last = max(first, int(np.searchsorted(key, key[-1])))
+            if not edge:
+                edge.append([c[:first] for c in (key, doc, at, words, before)])
+            if first < last:
+                yield from inside(*(c[first:last] for c in (key, doc, at, words, before)))
+            held = [*edge, [c[last:] for c in (key, doc, at, words, before)]]
+        # the partition's first and last key, which other partitions may have too
+        key, doc, at, words, *before = take(held)
+        depth, full = depths(key, words), (words != 0).sum(1)
+        known = reaches(depth, doc)
+        to_first = np.minimum.accumulate(np.r_[full[0], depth[1:]])
+        to_last = np.minimum.accumulate(np.r_[depth[1:], full[-1]][::-1])[::-1]
+        for a in range(0, len(key), 50_000):
+            s = slice(a, a + 50_000)
+            yield _table(doc[s], at[s], side, *(x[s] for x in known), part, to_first[s], to_last[s], key[s], _binary(before[0][s]) if side else None)
+        ends = pickle.dumps([vars(Border(key, words, depth, doc, end)) for end in (False, True)])
+        yield pa.RecordBatch.from_arrays([pa.array([{"part": part, "left": ends}.get(f.name)], f.type) for f in SCHEMA], schema=SCHEMA)
+
+    chosen = rows.select("key", "doc_id", "at", name, *(["left"] if side else []))
+    return materialise(chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(X.tidy(run), ROWS))
+
+
+def _settled(found: DataFrame) -> DataFrame:
+    """The rows of _compare with the runs that cross borders taken whole."""
+
+    def border(state: dict) -> Border:
+        b = Border.__new__(Border)
+        b.__dict__.update(state)
+        return b
+
+    # two rows a partition, not of the data
+    ends = sorted((r["part"], pickle.loads(bytes(r["left"]))) for r in found.where("doc_id is null").select("part", "left").toLocalIterator())
+    shared = found.sparkSession.sparkContext.broadcast(join_borders([(p, border(a), border(b)) for p, (a, b) in ends]))
 
-def _matches(contexts: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, start, end, other_id): neighbours in the sorted order, over the borders of partitions too."""
-    order = ["key", "right", "doc_id", "at"]
-    names = ["doc_id", "start", "end", "other_id", "key", "at", "right", "left", "part"]
-    schema = pa.schema([(n, pa.binary() if n in ("right", "left") else pa.int64()) for n in names])
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, at, side, another, earlier, kept = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(6))
+            part = batch.column(6).fill_null(-1).to_numpy(zero_copy_only=False)
+            for p in np.unique(part[part >= 0]).tolist():
+                rows = np.flatnonzero(part == p)
+                for end, column in ((False, 7), (True, 8)):
+                    depth = batch.column(column).to_numpy(zero_copy_only=False)[rows]
+                    least, most = shared.value[p, end]
+                    for n in range(EXTEND + 1):
+                        inside = rows[depth >= n]
+                        if not len(inside):
+                            break
+                        if least[n] != most[n]:
+                            another[inside] = np.maximum(another[inside], n)
+                        later = inside[(doc[inside] > least[n]) & ((earlier[inside] < n) | (earlier[inside] == n) & (kept[inside] > least[n]))]
+                        earlier[later], kept[later] = n, least[n]
+            far = np.where(side == 1, REACH + another, REACH).astype(np.int32), np.where(side == 1, REACH + earlier, REACH).astype(np.int32)
+            begin = np.where(side == 0, at - another, at).astype(np.int32), np.where(side == 0, at - earlier, at).astype(np.int32)
+            keep = another >= 0
+            later = pa.array(earlier[keep] < 0)
+            columns = [pa.array(doc[keep]), pa.array(begin[0][keep]), pa.array((at + far[0])[keep].astype(np.int32))]
+            columns += [pa.array(c[keep].astype(t), mask=later.to_numpy(zero_copy_only=False)) for c, t in ((begin[1], np.int32), (at + far[1], np.int32), (kept, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "later_start", "later_end", "kept"])
+
+    return found.where("doc_id is not null").drop("key", "left").mapInArrow(X.tidy(run), "doc_id long, start int, end int, later_start int, later_end int, kept long")
+
+
+def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Spans of documents (numbered from 0) merged where they touch; only those of MIN_WORDS or more stay, sorted."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(doc):
+        return doc, start, end
+    reach = np.maximum.accumulate((doc << 32) + end)
+    begin = np.flatnonzero(np.r_[True, (doc[1:] << 32) + start[1:] > reach[:-1]])
+    last = np.r_[begin[1:], len(doc)] - 1
+    doc, start, end = doc[begin], start[begin], reach[last] & 0xFFFFFFFF
+    keep = end - start >= MIN_WORDS
+    return doc[keep], start[keep], end[keep]
+
+
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(doc_id, spans, later, kept_in) of the matches, document by document as they come sorted."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def lists(n, doc, values, kind):
+        offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind)
+
+    def done(rows):
+        ids, doc = np.unique(rows[0], return_inverse=True)
+        n, again = len(ids), rows[6]
+        spans, later = merge_spans(doc, rows[1], rows[2]), merge_spans(doc[again], rows[3][again], rows[4][again])
+        kept = np.unique(np.c_[doc[again], rows[5][again]].reshape(-1, 2), axis=0)
+        kept = kept[np.isin(kept[:, 0], later[0])]
+        structs = [pa.StructArray.from_arrays([pa.array(x[k].astype(np.int32)) for k in (1, 2)], names=["start", "end"]) for x in (spans, later)]
+        columns = [pa.array(ids), lists(n, spans[0], structs[0], span), lists(n, later[0], structs[1], span), lists(n, kept[:, 0], pa.array(np.ascontiguousarray(kept[:, 1]), pa.int64()), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "later", "kept_in"]).filter(pa.array(np.isin(np.arange(n), spans[0])))
 
     def run(batches):
-        from pyspark import TaskContext
+        held: list = []
+        for batch in batches:
+            if batch.num_rows:
+                again = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+                held.append([*(batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(6)), again])
+            if sum(len(r[0]) for r in held) >= CHUNK and held[0][0][0] != held[-1][0][-1]:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield done([c[:last] for c in rows])
+                held = [[c[last:] for c in rows]]
+        if held:
+            yield done([np.concatenate(x) for x in zip(*held, strict=True)])
 
-        part, ends = TaskContext.get().partitionId(), []
-
-        def rows():
-            for batch in batches:
-                for x in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                    if not ends:
-                        ends.extend([x, x])
-                    ends[1] = x
-                    yield x
-
-        out = []
-        for m in neighbour_matches(rows()):
-            out.append((*m, None, None, None, None, None))
-            if len(out) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        out += [(x[1], None, None, None, x[0], x[2], x[3], x[4], part) for x in ends]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    sql = ", ".join(f"{n} {'binary' if n in ('right', 'left') else 'long'}" for n in names)
-    found = materialise(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(X.tidy(run), sql))
-    # two rows a partition: the least and the greatest
-    border = [(r.key, r.doc_id, r["at"], bytes(r.right), bytes(r.left)) for r in found.where("part is not null").orderBy("part", "key", "right", "doc_id", "at").toLocalIterator()]
-    extra = [m for m in neighbour_matches(border) if m[0] != m[3]]
-    small = contexts.sparkSession.createDataFrame(extra, "doc_id long, start long, end long, other_id long")
-    return found.where("part is null").select("doc_id", "start", "end", "other_id").unionByName(small)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(X.tidy(run), f"doc_id long, spans {SPANS}, later {SPANS}, kept_in array<long>")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, spans (merged passages, in words, shared with other documents) and other_ids (documents that matched)."""
+    """doc_id, spans, later and kept_in of every document that shares a passage of MIN_WORDS words with another.
+
+    spans: all shared passages, in words, merged. later: what of them an earlier
+    document (a lesser doc_id) has too; the rest is a first place. kept_in:
+    earlier documents that have them.
+    """
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_parts(docs)
     shared = materialise(_shared_keys(_suffixes(docs), parts))
-    matches = _matches(_contexts(docs, shared), parts)  # read twice, by the range sample too: cheaper than a copy on disk
-    merged = F.expr("""aggregate(array_sort(collected), cast(array() as array<struct<start:long,end:long>>), (done, x) ->
-        case when size(done) > 0 and element_at(done, -1).end >= x.start
-        then concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, x.end) as end)))
-        else concat(done, array(struct(x.start as start, x.end as end))) end)""")
-    grouped = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("collected"), F.array_sort(F.collect_set("other_id")).alias("other_ids"))
-    return grouped.select("doc_id", merged.alias("spans"), "other_ids")
+    right = _compare(_contexts(docs, shared), parts, 1)  # read twice, by the range sample too: cheaper than a copy on disk
+    left = _compare(right.where("part is not null and doc_id is not null"), parts, 0)
+    return _by_document(_settled(right).unionByName(_settled(left)))
+
+
+def remove_passages(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the passages of column later of found: of each shared passage the first document keeps its place; other columns stay."""
+    mark = "later"
+    while {mark, f"{mark}_id"} & set(docs.columns):
+        mark = "_" + mark
+    cut = found.where("size(later) > 0").select(F.col("doc_id").alias(f"{mark}_id"), F.col("later").alias(mark))
+    both = docs.join(cut, F.col(doc_id).cast("long") == F.col(f"{mark}_id"), "left").drop(f"{mark}_id")
+    at, spans_at = docs.columns.index(text), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(spans_at).to_pylist()):
+                if spans and texts[k]:
+                    data = texts[k].encode()
+                    raw = np.frombuffer(data, np.uint8)
+                    starts, stops, _ = X.split_words(raw, np.array([0, len(raw)]), X.SPACED)
+                    done, parts = 0, []
+                    for s in spans:
+                        end = min(s["end"], len(starts))
+                        if s["start"] < end:
+                            parts.append(data[done : starts[s["start"]]])
+                            done = int(starts[end]) if end < len(starts) else int(stops[-1])
+                    texts[k] = b"".join([*parts, data[done:]]).decode()
+            columns = list(batch.columns[:spans_at])
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:spans_at])
+
+    return both.mapInArrow(X.tidy(run), docs.schema)

@@ -100,16 +100,81 @@ def test_suffixes_find_every_long_passage(spark):
     for k, r in got.items():
         t, p = spaced(rows[k][1]), spaced(shared[k // 2 % 4])
         at = next(i for i in range(len(t)) if t[i : i + len(p)] == p)
-        assert [tuple(s) for s in r.spans] == [(at, at + len(p))] and k not in r.other_ids
+        assert [tuple(s) for s in r.spans] == [(at, at + len(p))] and k not in r.kept_in
+        assert (r.later, r.kept_in) == ([], []) if k < 8 else r.later == r.spans and k % 8 in r.kept_in and {x % 8 for x in r.kept_in} == {k % 8} and max(r.kept_in) < k
 
 
 def test_suffixes_of_awkward_rows(spark):
     docs = awkward(spark, [*edge_rows(), (40, "und " * 500, "de")])
     got = {r.doc_id: r for r in suffixes.repeated_passages(docs).collect()}
-    assert set(got) == {6, 7} and [tuple(s) for s in got[6].spans] == [(0, 20_000)] and got[6].other_ids == [7]
+    assert set(got) == {6, 7} and [tuple(s) for s in got[6].spans] == [(0, 20_000)] and got[6].later == got[6].kept_in == [] and got[7].later == got[7].spans and got[7].kept_in == [6]
     assert suffixes.repeated_passages(docs.limit(0)).collect() == []
 
 
+def overlapping(seed, n=160):
+    """Documents with passages that nest and overlap among many of them; places such as 100 and 104 begin in many."""
+    rng = random.Random(seed)
+    pool, out = words(4000, rng, 10**6).split(), []
+    for k in range(n):
+        parts = [words(rng.randrange(0, 40), rng, 10**6)]
+        for _ in range(rng.randrange(0, 4)):
+            a = rng.choice([0, 17, 33, 90, 100, 104, 130, rng.randrange(3800)])
+            parts += [" ".join(pool[a : a + rng.choice([20, 36, 49, 50, 51, 60, 75, 140])]), words(rng.randrange(0, 30), rng, 10**6)]
+        out.append((k, " ".join(parts), "en"))
+    return out
+
+
+def brute_cover(rows, n, earlier):
+    """By document: its words inside runs of n words that another (or an earlier) document has too."""
+    texts, owners, out = {i: spaced(t) for i, t, _ in rows}, {}, {}
+    for i, w in texts.items():
+        for k in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[k : k + n]), set()).add(i)
+    for i, w in texts.items():
+        out[i] = set()
+        for k in range(len(w) - n + 1):
+            own = owners[tuple(w[k : k + n])]
+            if (min(own) < i) if earlier else len(own) > 1:
+                out[i].update(range(k, k + n))
+    return out
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_suffixes_cover_every_shared_word(spark, parts, monkeypatch):
+    """Exactly the words of 50-word passages, and none that no shared run of 35 words holds; with 40 ranges keys are cut by many borders."""
+    monkeypatch.setattr(suffixes, "range_parts", lambda df: parts)
+    rows = overlapping(parts)
+    docs = awkward(spark, rows)
+    found = common.materialise(suffixes.repeated_passages(docs))
+    got = {r.doc_id: r for r in found.collect()}
+    for column, earlier in (("spans", False), ("later", True)):
+        must, may = brute_cover(rows, 50, earlier), brute_cover(rows, 35, earlier)
+        for i, *_ in rows:
+            have = {x for s in (got[i][column] if i in got else []) for x in range(s.start, s.end)}
+            assert must[i] <= have <= may[i]
+    # every word that is cut out (they are as good as unique) is left elsewhere, and no passage is left twice
+    left = suffixes.remove_passages(docs, found)
+    assert left.columns == docs.columns
+    texts = [(r.doc_id, r.text, "en") for r in left.collect()]
+    assert {w for _, t, _ in rows for w in spaced(t)} == {w for _, t, _ in texts for w in spaced(t)}
+    assert sum(len(spaced(t)) for _, t, _ in rows) - sum(len(spaced(t)) for _, t, _ in texts) == sum(s.end - s.start for r in got.values() for s in r.later)
+    assert not any(brute_cover([(i, t, "en") for i, t, _ in texts], 50, False).values())
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3)), max_size=60), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_rows_of_shared_keys_from_any_batches(rows, size):
+    rows = sorted((k, d, n) for n, (k, d) in enumerate(rows))
+    columns = [np.array([r[c] for r in rows], np.int64) for c in range(3)]
+    batches = [[c[a : a + size] for c in columns] for a in range(0, len(rows), size)]
+    got = [tuple(int(c[n]) for c in b) for b in suffixes.shared_rows(iter(batches)) for n in range(len(b[0]))]
+    docs = {}
+    for k, d, _ in rows:
+        docs.setdefault(k, set()).add(d)
+    edge = {rows[0][0], rows[-1][0]} if rows else set()
+    assert got == [r for r in rows if len(docs[r[0]]) > 1 or r[0] in edge]
+
+
 def brute_runs(rows):
     """First places of all runs, in plain Python."""
     import re
