@@ -62,14 +62,61 @@ def resolve(body: Column, segments: list, kind: str = "string") -> Column:
     return F.try_variant_get(F.get(walk_paths(body, segments), 0), "$", kind)
 
 
+def segments_of(path: str) -> list:
+    """A dotted path as segments: numbers are places, [] and an empty segment fan out, /.../ is a pattern (dots in it are its own)."""
+    out: list = []
+    for part in re.findall(r"/(?:[^/]|(?<=\\)/)+/i?|[^.]+|(?<=\.)(?=\.)|(?<=\.)$", path):
+        if _is_regex(part):
+            out.append(part)
+            continue
+        name, *places = re.split(r"\[(\d*)\]", part)
+        out += ([] if not name and places else [int(name) if name.isdigit() else name]) + [int(x) if x else "" for x in places[::2]]
+    return out
+
+
+NUMBERS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+
+def values_at(body: Column, segments: list) -> Column:
+    """The values (array of variants) that conditions compare: those at the path, the elements of an array each for itself, no nulls."""
+    if all(isinstance(s, int) or (s and not _is_regex(s)) for s in segments):
+        one = F.try_variant_get(F.try_parse_json(body), "$" + "".join(map(_json_path, segments)), "variant")
+        values = F.coalesce(F.try_variant_get(one, "$", LIST), F.array(one))
+    else:
+        values = F.flatten(F.transform(walk_paths(body, segments), lambda v: F.coalesce(F.try_variant_get(v, "$", LIST), F.array(v))))
+    return F.filter(values, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+
+
+def compare(value: Column, op: str, literal) -> Column:
+    """A variant against a literal of its own kind: a number with a number, a text with a text; others are unequal and in no order."""
+    kind = F.schema_of_variant(value)
+    order = {"eq": lambda a, b: a == b, "gt": lambda a, b: a > b, "lt": lambda a, b: a < b}[op]
+    if isinstance(literal, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == literal) if op == "eq" else F.lit(False)
+    if isinstance(literal, str):
+        return (kind == "STRING") & order(F.try_variant_get(value, "$", "string"), F.lit(literal))
+    number = kind.rlike(NUMBERS) & order(F.try_variant_get(value, "$", "double"), F.lit(float(literal)))
+    if isinstance(literal, int) and abs(literal) < 1 << 63:  # whole numbers exactly
+        return F.when(kind == "BIGINT", order(F.try_variant_get(value, "$", "bigint"), F.lit(literal))).otherwise(number)
+    return number
+
+
+def sort_keys(body: Column, segments: list) -> tuple[Column, Column, Column]:
+    """(kind, number, text) of the first value: numbers order as numbers and come before all else; nulls are missing."""
+    value = F.get(walk_paths(body, segments), 0)
+    value = F.when(~F.is_variant_null(value), value)
+    number = F.when(F.schema_of_variant(value).rlike(NUMBERS), F.try_variant_get(value, "$", "double"))
+    return F.when(value.isNotNull(), F.when(number.isNotNull(), 0).otherwise(1)), number, comparable(value)
+
+
 def comparable(value: Column) -> Column:
     """A variant as text for comparisons: scalars plainly, arrays and objects as JSON."""
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
 
 
 def any_equal(body: Column, segments: list, value) -> Column:
-    """A fanned-out path equals the value if any element does."""
-    return F.exists(walk_paths(body, segments), lambda v: F.try_variant_get(v, "$", "string") == str(value))
+    """A fanned-out path, or an array, equals the value if any element does."""
+    return F.exists(values_at(body, segments), lambda v: compare(v, "eq", value))
 
 
 def pointer(body: Column, path: str, kind: str = "string") -> Column:
@@ -109,18 +156,28 @@ def deep_merge_value(target, patch):
 
 
 def _json_udf(function):
+    """function over two JSON texts; null where either is null or no JSON."""
+
+    def merged(x, y):
+        try:
+            return json.dumps(function(json.loads(x), json.loads(y)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else json.dumps(function(json.loads(x), json.loads(y)), separators=(",", ":"), ensure_ascii=False) for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else merged(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run
 
 
 def merge_patch(target: Column, patch: Column, depth: int | None = None) -> Column:
+    """RFC 7396 merge patch; null where target or patch is null or malformed."""
     return _json_udf(lambda a, b: merge_patch_value(a, b, depth))(target, patch)
 
 
 def deep_merge(target: Column, patch: Column) -> Column:
+    """Objects merged; null where either is null or malformed."""
     return _json_udf(deep_merge_value)(target, patch)
 
 

@@ -91,15 +91,18 @@ def _codes(text: str, alt: bool) -> list[str]:
     return sorted(found - {""})
 
 
-def dmetaphone_codes(text: Column, alt: bool = False) -> Column:
-    """Sorted distinct codes of the words (with alt, second codes too), computed once for each distinct value of a batch."""
+def dmetaphone_codes(text: Column, alt: bool = False, once: bool = False) -> Column:
+    """Sorted distinct codes of the words (with alt, second codes too), computed once for each distinct value of a batch.
+
+    once: the optimiser may not copy the call into every place that refers to it.
+    """
 
     @F.pandas_udf("array<string>")
     def codes(values: pd.Series) -> pd.Series:
         known = {v: _codes(v, alt) for v in values.dropna().unique()}
         return pd.Series([known.get(v) for v in values], dtype=object)
 
-    return codes(text)
+    return (codes.asNondeterministic() if once else codes)(text)
 
 
 def soundex_of(word: str) -> str:

@@ -35,6 +35,12 @@ def trigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(p[k : k + 3] for w in words for p in [f"  {w} "] for k in range(len(p) - 2)))
 
 
+def trigrams_inside(text: str) -> list[str]:
+    """Windows that lie inside the words of a literal: whatever contains it has all of them."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return list(dict.fromkeys(w[k : k + 3] for w in words for k in range(len(w) - 2)))
+
+
 def dice(a: Column, b: Column) -> Column:
     """2 |A n B| / (|A| + |B|) of two token arrays; 0 if both are empty."""
     total = F.size(a) + F.size(b)
@@ -94,24 +100,31 @@ def _distinct_apply(values: pd.Series, function) -> pd.Series:
     return values.map(known)
 
 
-def osa_distance(text: Column, query: str) -> Column:
+def osa_distance(text: Column, query: str, once: bool = False) -> Column:
+    """once: the optimiser may not copy the call into every place that refers to it."""
+
     @F.pandas_udf("int")
     def distance(values: pd.Series) -> pd.Series:
         return _distinct_apply(values, lambda v: osa(v, query)).astype("Int32")
 
-    return distance(text)
+    return (distance.asNondeterministic() if once else distance)(text)
 
 
-def osa_within(text: Column, query: str, k: int) -> Column:
-    """The distance where it is at most k, else null. The prefilters spare the UDF almost every row."""
+def osa_near(text: Column, query: str, k: int) -> Column:
+    """The text where its distance can be at most k, else null: it spares the UDF almost every row."""
     near = (F.abs(F.length(text) - len(query)) <= k) & (F.levenshtein(text, F.lit(query), 2 * k) != -1)
-    d = osa_distance(F.when(near, text), query)
+    return F.when(near, text)
+
+
+def osa_within(text: Column, query: str, k: int) -> Column:
+    """The distance where it is at most k, else null."""
+    d = osa_distance(osa_near(text, query, k), query)
     return F.when(d <= k, d)
 
 
-def jaro_winkler_score(text: Column, query: str) -> Column:
+def jaro_winkler_score(text: Column, query: str, once: bool = False) -> Column:
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
         return _distinct_apply(values, lambda v: jaro_winkler(v, query)).astype("Float64")
 
-    return score(text)
+    return (score.asNondeterministic() if once else score)(text)

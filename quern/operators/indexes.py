@@ -2,16 +2,20 @@
 
 Queries do not need them (fields are columns); they pay where one selective text
 query is asked of a very large collection again and again. A postings table is
-written partitioned by strategy and sorted by token, so a query reads the few
-row groups that hold its tokens.
+written partitioned by field and strategy and sorted by token, so a query reads
+the few row groups that hold its tokens; Python then runs over candidates only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import phonetic, text
+from quern.plans.predicates import MATCH_SIMILARITY, And, Leaf, Or, fuzziness
 
 STRATEGIES = ("string", "trigram", "soundex", "dmetaphone")
 
@@ -41,22 +45,112 @@ def postings(df: DataFrame, field: str, strategy: str) -> DataFrame:
     return rows.select(F.lit(field).alias("field"), F.lit(strategy).alias("strategy"), "token", "path")
 
 
-def reindex(df: DataFrame, fields: dict[str, list[str]], folder: str) -> None:
-    """Write the postings of the fields, each with its strategies; what was there is replaced."""
-    first = True
-    for field, strategies in fields.items():
-        for strategy in strategies:
-            rows = postings(df, field, strategy).repartitionByRange("token").sortWithinPartitions("token")
-            rows.write.mode("overwrite" if first else "append").partitionBy("field", "strategy").parquet(folder)
-            first = False
+def reindex(df: DataFrame, fields: dict[str, list[str]], folder: str, resume: bool = False) -> list[dict]:
+    """Write the postings of the fields, each with its strategies; what was there of them is replaced.
+
+    One folder for each index, complete when Spark has marked it so: with resume,
+    complete ones stay and a run that was cut off goes on. Gives the progress:
+    field, strategy, step, of, state (written or kept).
+    """
+    spark, due = df.sparkSession, [(f, s) for f, strategies in fields.items() for s in strategies]
+    progress = []
+    for k, (field, strategy) in enumerate(due, 1):
+        target = f"{folder.rstrip('/')}/field={quote(field, safe='')}/strategy={strategy}"
+        kept = resume and _exists(spark, f"{target}/_SUCCESS")
+        if not kept:
+            rows = postings(df, field, strategy).select("token", "path")
+            rows.repartitionByRange("token", "path").sortWithinPartitions("token").write.mode("overwrite").parquet(target)
+        progress.append({"field": field, "strategy": strategy, "step": k, "of": len(due), "state": "kept" if kept else "written"})
+    return progress
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """The postings after documents changed (rows of the collection) or went (path)."""
+    gone = changed.select("path").unionByName(removed.select("path")).distinct()
+    new = [postings(changed, f, s) for f, strategies in fields.items() for s in strategies]
+    return reduce(DataFrame.unionByName, new, index.select("field", "strategy", "token", "path").join(gone, "path", "left_anti").select("field", "strategy", "token", "path"))
+
+
+class Index:
+    """Postings that queries read. They must cover the collection: reindex, or refresh, after it changes.
+
+    Entries of documents that are gone do no harm: candidates only narrow what is read.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.kinds = {(r.field, r.strategy) for r in rows.select("field", "strategy").distinct().collect()}  # one row an index
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        return cls(spark.read.parquet(folder))
+
+    def statistics(self) -> DataFrame:
+        return statistics(self.rows)
+
+    def _sharing(self, field: str, query: str, *strategies: str) -> DataFrame | None:
+        """(path) of documents that share a token with the query by any of the strategies; None if one has no index."""
+        if any((field, s) not in self.kinds for s in strategies):
+            return None
+        return reduce(DataFrame.unionByName, (candidates(self.rows, field, s, query).select("path") for s in strategies))
+
+    def narrow(self, node) -> DataFrame | None:
+        """(path), distinct: no row outside can fit the tree; None where the postings do not tell."""
+        found = self._narrow(node)
+        return None if found is None else found.distinct()
+
+    def _narrow(self, node) -> DataFrame | None:
+        if isinstance(node, Leaf):
+            return self._leaf(node)
+        if not isinstance(node, (And, Or)) or not node.children:
+            return None
+        known = [self._narrow(c) for c in node.children]
+        if isinstance(node, Or):
+            return None if any(k is None for k in known) else reduce(DataFrame.unionByName, known)
+        known = [k for k in known if k is not None]
+        return reduce(lambda a, b: a.join(b, "path", "left_semi"), known) if known else None
+
+    def _leaf(self, leaf: Leaf) -> DataFrame | None:
+        field, q = leaf.field, leaf.value
+        if leaf.op == "eq":
+            return self._sharing(field, q, "string") if isinstance(q, str) else None
+        if leaf.op == "contains":
+            inner = text.trigrams_inside(q)
+            if not inner or (field, "trigram") not in self.kinds:
+                return None
+            return _holding(self.rows, field, "trigram", inner, len(inner)).select("path")
+        if leaf.op == "similar":
+            return self._sharing(field, q, "trigram") if text.trigrams_of(q) else None
+        if leaf.op == "phonetic":
+            return self._sharing(field, q, "soundex", "dmetaphone")
+        if leaf.op == "fuzzy":
+            near = leaf.option("require_candidate") or leaf.option("algorithm", "damerau_levenshtein") != "jaro_winkler" and _edits_share(q, fuzziness(leaf, q))
+            return self._sharing(field, q, "trigram") if near and text.trigrams_of(q) else None
+        if leaf.op == "match":
+            return self._sharing(field, q, "trigram", "soundex", "dmetaphone") if MATCH_SIMILARITY >= 0 and _edits_share(q, text.auto_fuzziness(q)) else None
+        return None
+
+
+def _edits_share(query: str, edits: int) -> bool:
+    """A text within so many edits keeps a trigram of the query: an edit or swap touches at most four windows, five to be sure."""
+    return len(text.trigrams_of(query)) > 5 * edits
+
+
+def _holding(index: DataFrame, field: str, strategy: str, wanted: list[str], least: int = 1) -> DataFrame:
+    hit = index.where((F.col("field") == field) & (F.col("strategy") == strategy) & F.col("token").isin(*wanted))
+    found = hit.groupBy("path").agg(F.count("*").alias("shared"))
+    return found.where(F.col("shared") >= least) if least > 1 else found
 
 
 def candidates(index: DataFrame, field: str, strategy: str, query: str, every: bool = False) -> DataFrame:
     """(path, shared): documents that share a token with the query (with every: all of them)."""
     wanted = query_tokens(query, strategy)
-    hit = index.where((F.col("field") == field) & (F.col("strategy") == strategy) & F.col("token").isin(*wanted))
-    found = hit.groupBy("path").agg(F.count("*").alias("shared"))
-    return found.where(F.col("shared") == len(wanted)) if every else found
+    return _holding(index, field, strategy, wanted, len(wanted) if every else 1)
 
 
 def statistics(index: DataFrame) -> DataFrame:

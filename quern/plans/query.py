@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import json_values
+from quern.operators.indexes import Index
 from quern.plans import predicates
 from quern.plans.collections import METADATA, VIRTUAL
-from quern.plans.predicates import QueryError
+from quern.plans.predicates import JsonField, QueryError
 
 DEFAULT_LIMIT = 20
 ENVELOPE = ("path", "size", "content_type", "created_at", "updated_at", "score", "matched_by")
@@ -21,7 +23,11 @@ ENVELOPE = ("path", "size", "content_type", "created_at", "updated_at", "score",
 
 @dataclass
 class Request:
-    """where None means no condition, which finds nothing; everything() asks for all rows."""
+    """where None means no condition, which finds nothing; everything() asks for all rows.
+
+    index: postings of the collection's fields. Text operators then look only at
+    the rows that share tokens with the query, and give the same answer.
+    """
 
     where: object = None
     order_by: list[tuple[str, bool]] = field(default_factory=list)  # (field, descending)
@@ -33,6 +39,7 @@ class Request:
     select: list[str] | None = None
     aggregate: dict | None = None
     all_rows: bool = False
+    index: Index | None = None
 
     @classmethod
     def from_json(cls, request: dict) -> Request:
@@ -65,18 +72,32 @@ def matches(df: DataFrame, request: Request) -> DataFrame:
     if request.where is None:
         return df.withColumns({"score": F.lit(1.0), "matched_by": F.array().cast("array<string>")}).where(F.lit(False))
     node = predicates.parse(request.where)
-    match = predicates.compile_node(node, df)
-    return df.where(match.condition).withColumns({"score": match.score, "matched_by": match.matched_by})
+    candidates = request.index.narrow(node) if request.index else None
+    if candidates is not None:
+        df = df.join(candidates, "path", "left_semi")
+    held: dict[str, Column] = {}
+    match = predicates.compile_node(node, df, held)
+    if held:
+        plain = predicates.plain_part(node)
+        df = (df if plain is None else df.where(predicates.compile_node(plain, df).condition)).withColumns(held)
+    return df.where(match.condition).withColumns({"score": match.score, "matched_by": match.matched_by}).drop(*held)
 
 
 def _order(df: DataFrame, request: Request) -> list[tuple[str, Column, bool]]:
-    """(name, column, descending), ending with the path so that the order is total; unknown @ fields are ignored."""
+    """(name, column, descending), ending with the path so that the order is total; unknown @ fields are ignored.
+
+    A JSON path orders by the kind of its value, then by number, then by text.
+    """
     out = []
     for name, desc in request.order_by:
         if name == "@score":
             out.append((name, F.col("score"), desc))
         elif name in VIRTUAL or not name.startswith("@"):
-            out.append((name, predicates.field_column(df, name), desc))
+            found = predicates.field_of(df, name)
+            if isinstance(found, JsonField):
+                out += [(f"{name}:{k}", c, desc) for k, c in zip(("kind", "number", "text"), json_values.sort_keys(found.body, list(found.segments)), strict=True)]
+            else:
+                out.append((name, found, desc))
     if not request.order_by and request.where is not None and predicates.scored(predicates.parse(request.where)):
         out.append(("@score", F.col("score"), True))
     return [*out, ("@path", F.col("path"), False)]
@@ -123,7 +144,7 @@ def _project(df: DataFrame, request: Request, fields: list[str]) -> DataFrame:
     if request.select is None:
         return df.select(*ENVELOPE, *(c for c in fields if c not in ENVELOPE))
     named = {"@score": "score", "@matched_by": "matched_by"} | VIRTUAL
-    return df.select(*((named[s] if s in named else s) for s in request.select))
+    return df.select(*(F.col(named[s]) if s in named else predicates.field_column(df, s).alias(s) for s in request.select))
 
 
 def rows(df: DataFrame, request: Request) -> DataFrame:
@@ -184,7 +205,14 @@ def _aggregates(df: DataFrame, spec: dict) -> list[Column]:
     out = [F.count("*").alias("count")]
     for name in ("sum", "avg", "min", "max"):
         for f in spec.get(name) or []:
-            c = predicates.field_column(df, f)
+            found = predicates.field_of(df, f)
+            if isinstance(found, JsonField):
+                kind, number, text = json_values.sort_keys(found.body, list(found.segments))
+                c = number if name in ("sum", "avg") else F.struct(kind, number, text.alias("text"))
+                c = getattr(F, name)(F.when(kind.isNotNull(), c))
+                out.append((c if name in ("sum", "avg") else c["text"]).alias(f"{name}_{f}"))
+                continue
+            c = found
             if name in ("sum", "avg"):
                 if not isinstance(df.select(c).schema[0].dataType, NUMERIC):
                     raise QueryError(f"{name} needs a number; {f!r} is none")
@@ -193,17 +221,43 @@ def _aggregates(df: DataFrame, spec: dict) -> list[Column]:
     return out
 
 
-def aggregate(df: DataFrame, request: Request) -> DataFrame:
-    """Totals, or one row per group: most rows first, then by key; 20 groups unless the limit says otherwise."""
-    spec = request.aggregate or {}
+@dataclass
+class Groups:
+    items: DataFrame
+    total: int
+    has_more: bool
+    default_limit_hit: bool
+
+
+def _grouped(df: DataFrame, request: Request, keys: list[str]) -> DataFrame:
     found = matches(df, request)
-    keys = spec.get("group_by") or []
-    if not keys:
-        return found.agg(*_aggregates(found, spec))
     named = [predicates.field_column(found, k).alias(k.lstrip("@")) for k in keys]
-    grouped = found.groupBy(*named).agg(*_aggregates(found, spec))
-    order = [F.col("count").desc(), *(F.col(f"`{k.lstrip('@')}`").asc_nulls_first() for k in keys)]
-    return grouped.orderBy(*order).limit(DEFAULT_LIMIT if request.limit is None else request.limit)
+    grouped = found.groupBy(*named).agg(*_aggregates(found, request.aggregate or {}))
+    return grouped.orderBy(F.col("count").desc(), *(F.col(f"`{k.lstrip('@')}`").asc_nulls_first() for k in keys))
+
+
+def aggregate(df: DataFrame, request: Request) -> DataFrame:
+    """Totals, or one row per group: most rows first, then by key; 20 groups unless the limit says otherwise.
+
+    Sums and averages of a JSON path take its numbers; its least and greatest value come as text.
+    """
+    keys = (request.aggregate or {}).get("group_by") or []
+    if not keys:
+        found = matches(df, request)
+        return found.agg(*_aggregates(found, request.aggregate or {}))
+    return _grouped(df, request, keys).limit(DEFAULT_LIMIT if request.limit is None else request.limit)
+
+
+def groups(df: DataFrame, request: Request) -> Groups:
+    """The groups of aggregate() and what surrounds them: the rows of all groups, and whether there are more groups."""
+    keys = (request.aggregate or {}).get("group_by") or []
+    if not keys:
+        raise QueryError("groups need group_by")
+    limit = DEFAULT_LIMIT if request.limit is None else request.limit
+    wide = _grouped(df, request, keys).limit(limit + 1)
+    got = wide.collect()  # at most limit + 1 rows
+    more = len(got) > limit
+    return Groups(df.sparkSession.createDataFrame(got[:limit], wide.schema), matches(df, request).count(), more, more and request.limit is None)
 
 
 def explain(df: DataFrame, request: Request, analyze: bool = False) -> dict:
@@ -212,6 +266,8 @@ def explain(df: DataFrame, request: Request, analyze: bool = False) -> dict:
     plan = (aggregate if request.aggregate else rows)(df, request)
     text = plan._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     out = {"tree": predicates.describe(node) if node else None, "text": bool(node) and predicates.scored(node), "plan": text}
+    if request.index:
+        out["indexes"] = [r.asDict() for r in request.index.statistics().collect()]  # one row an index
     if analyze:
         start = time.perf_counter()
         out |= {"matched": matches(df, request).count(), "returned": plan.count(), "milliseconds": round(1000 * (time.perf_counter() - start), 3)}

@@ -317,3 +317,97 @@ def test_windows_on_a_stream(spark, tmp_path):
 
 def test_signature():
     assert events.sign("key", "body") == hmac.new(b"key", b"body", hashlib.sha256).hexdigest()
+
+
+# --- literals of other types, JSON fields, indexes -------------------------
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rows = [(1, "a", True, [1, 2], '{"k":5,"l":[1,2],"t":"5","o":{"p":"x"}}', "2024-01-01 00:00:00"), (2, "5", False, [3], '{"k":"n/a","l":[],"o":[{"p":"x"},{"p":"y"}]}', "2024-02-01 00:00:00"), (3, "b", None, None, '{"k":100,"l":2,"t":null}', None), (4, "c", True, [], "no json", None), (5, None, None, None, None, None), (6, "d", False, [2], '{"k":10,"o":{"p":"z"}}', None)]
+    table = spark.createDataFrame(rows, "id int, name string, flag boolean, nums array<int>, body_text string, day string").withColumn("day", F.col("day").cast("timestamp"))
+    return Collection("/m", "m", "concat(id, '.json')").load(spark, table)
+
+
+@pytest.mark.parametrize(("where", "ids"), [
+    ({"field": "id", "op": "eq", "value": "abc"}, []), ({"field": "id", "op": "eq", "value": "3"}, [3]), ({"field": "name", "op": "eq", "value": 5}, []), ({"field": "name", "op": "gt", "value": 5}, []),
+    ({"field": "id", "op": "in", "value": [1, "x"]}, [1]), ({"field": "id", "op": "in", "value": ["x"]}, []), ({"field": "id", "op": "gt", "value": True}, []), ({"field": "id", "op": "lt", "value": 10**30}, [1, 2, 3, 4, 5, 6]),
+    ({"field": "flag", "op": "eq", "value": True}, [1, 4]), ({"field": "flag", "op": "eq", "value": "false"}, [2, 6]), ({"field": "flag", "op": "eq", "value": 1}, []), ({"field": "id", "op": "between", "value": 2, "value2": "x"}, []),
+    ({"not": {"field": "id", "op": "eq", "value": "abc"}}, [1, 2, 3, 4, 5, 6]), ({"field": "nums", "op": "eq", "value": 2}, [1, 6]), ({"field": "nums", "op": "in", "value": [3, "q"]}, [2]), ({"field": "nums", "op": "gt", "value": 1}, [1, 2, 6]),
+    ({"field": "day", "op": "gt", "value": "2024-01-15"}, [2]), ({"field": "day", "op": "lt", "value": 1_705_000_000_000}, [1]), ({"field": "day", "op": "gt", "value": "soon"}, []),
+    ({"field": "body_text.k", "op": "gt", "value": 5}, [3, 6]), ({"field": "body_text.k", "op": "eq", "value": 5}, [1]), ({"field": "body_text.k", "op": "eq", "value": "5"}, []), ({"field": "body_text.t", "op": "eq", "value": "5"}, [1]),
+    ({"field": "body_text.k", "op": "between", "value": 5, "value2": 10}, [1, 6]), ({"field": "body_text.k", "op": "in", "value": ["n/a", 100]}, [2, 3]), ({"field": "body_text.k", "op": "lt", "value": "z"}, [2]),
+    ({"field": "body_text.l", "op": "eq", "value": 2}, [1, 3]), ({"field": "body_text.l[]", "op": "eq", "value": 2}, [1]), ({"field": "body_text.o[].p", "op": "eq", "value": "y"}, [2]), ({"field": "body_text.o.p", "op": "eq", "value": "z"}, [6]),
+    ({"not": {"field": "body_text.k", "op": "gt", "value": 5}}, [1, 2, 4, 5]), ({"field": "body_text.l[0]", "op": "eq", "value": 1}, [1]), ({"field": "body_text./^[kt]$/", "op": "eq", "value": "5"}, [1]),
+])
+def test_literals_meet_their_own_kind(mixed, where, ids):
+    assert sorted(r.id for r in query.matches(mixed, Request.from_json({"where": where})).collect()) == ids
+
+
+def test_json_fields_order_as_numbers_and_sum(mixed):
+    request = {"where": {"field": "id", "op": "gt", "value": 0}, "order_by": [{"field": "body_text.k"}], "select": ["id", "body_text.k"]}
+    got = query.rows(mixed, Request.from_json(request)).collect()
+    assert [r.id for r in got] == [4, 5, 1, 6, 3, 2] and got[2]["body_text.k"] == "5"
+    seen, r = [], Request.from_json(request | {"limit": 2})
+    while True:
+        page = query.page(mixed, r)
+        seen += [x.id for x in page.items.collect()]
+        if not page.has_more:
+            break
+        r.after = page.next_cursor
+    assert seen == [4, 5, 1, 6, 3, 2]
+    out = query.aggregate(mixed, Request.from_json({"where": {"field": "id", "op": "gt", "value": 0}, "aggregate": {"sum": ["body_text.k"], "min": ["body_text.k"], "max": ["body_text.k"]}})).first()
+    assert (out["sum_body_text.k"], out["min_body_text.k"], out["max_body_text.k"]) == (115.0, "5", "n/a")
+
+
+def test_groups(items):
+    page = query.groups(items, Request.from_json({"where": {"field": "value", "op": "lt", "value": 1000}, "aggregate": {"group_by": ["id"]}}))
+    assert page.items.count() == 20 and page.total == 50 and page.has_more and page.default_limit_hit
+    page = query.groups(items, Request.from_json({"where": {"field": "value", "op": "lt", "value": 30}, "limit": 3, "aggregate": {"group_by": ["id"]}}))
+    assert page.items.count() == 3 and page.total == 3 and not page.has_more and not page.default_limit_hit
+
+
+TEXTS = ["red widget", "blue wijit", "rde wdiget", "WIDGET RED", "widgets redder", "gear", "", None, "smythe", "wid get red", "reed widgit", "x", "the redwidget", "Red  Widget"]
+
+
+@pytest.mark.parametrize("where", [
+    {"op": "match", "value": "red widget"}, {"op": "match", "value": "gear"}, {"op": "similar", "value": "red widget"}, {"op": "similar", "value": "gears", "threshold": 0.1}, {"op": "contains", "value": "D WIDG"}, {"op": "contains", "value": "x"},
+    {"op": "phonetic", "value": "Smith"}, {"op": "fuzzy", "value": "red widget"}, {"op": "fuzzy", "value": "red wigdet", "require_candidate": True}, {"op": "fuzzy", "value": "red widget", "algorithm": "jaro_winkler"}, {"op": "eq", "value": "gear"},
+])
+def test_answers_are_the_same_with_an_index(spark, tmp_path_factory, where):
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, name string")
+    df = Collection("/p", "p", "concat(id, '.json')").load(spark, table)
+    folder = str(tmp_path_factory.mktemp("index"))
+    assert {p["state"] for p in indexes.reindex(df, {"name": list(indexes.STRATEGIES)}, folder)} == {"written"}
+    assert {p["state"] for p in indexes.reindex(df, {"name": ["trigram"]}, folder, resume=True)} == {"kept"}
+    index = indexes.Index.open(spark, folder)
+    both = {"or": [{"field": "name"} | where, {"and": [{"field": "name"} | where, {"field": "id", "op": "lt", "value": 9}]}]}
+    for w in ({"field": "name"} | where, both, {"not": both}):
+        answers = []
+        for i in (None, index):
+            r = Request.from_json({"where": w})
+            r.index = i
+            answers.append(sorted((x.id, round(x.score, 9), x.matched_by) for x in query.matches(df, r).collect()))
+        assert answers[0] == answers[1]
+    r.index = index
+    assert {x["strategy"] for x in query.explain(df, r)["indexes"]} == set(indexes.STRATEGIES)
+
+
+def test_python_runs_once_a_row(items):
+    where = {"and": [{"field": "name", "op": "match", "value": "item number 3"}, {"field": "value", "op": "gt", "value": 100}]}
+    plan = query.matches(items, Request.from_json({"where": where}))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    assert plan.index("ArrowEvalPython [") < plan.index("> 100")  # the plain condition filters below it
+
+
+def test_index_refresh_and_stale_entries(spark):
+    table = spark.createDataFrame([(1, "red widget"), (2, "blue gear"), (3, "red gear")], "id int, name string")
+    df = Collection("/p", "p", "concat(id, '.json')").load(spark, table)
+    old = indexes.postings(df, "name", "trigram")
+    changed = Collection("/p", "p", "concat(id, '.json')").load(spark, spark.createDataFrame([(2, "green bolt")], "id int, name string"))
+    new = indexes.refreshed(old, changed, spark.createDataFrame([("/p/3.json",)], "path string"), {"name": ["trigram"]})
+    assert {r.path for r in indexes.candidates(new, "name", "trigram", "red").collect()} == set()
+    assert {r.path for r in indexes.candidates(new, "name", "trigram", "bolt").collect()} == {"/p/2.json"}
+    r = Request.from_json({"where": {"field": "name", "op": "similar", "value": "red"}})
+    r.index = indexes.Index(old)
+    assert sorted(x.id for x in query.matches(df.where("id < 3"), r).collect()) == [1]  # the entry of /p/3.json leads nowhere
