@@ -5,14 +5,15 @@ K-grams of words, those with the least hash mark positions; they depend on the
 text alone, so equal passages mark equal places. The suffixes at marked
 positions, each with at least REACH words, are sorted over the whole corpus
 (range partitions, so that a hot key is split), and those whose first REACH words
-several documents have are kept. They are sorted again with the EXTEND words
-behind and before them: rows with equal first words are neighbours, so a row's
-longest match to the right (by the order of the words behind) and to the left (by
-the order of the words before) shows in the runs of equal words that it lies in.
-Two of them are looked at for every length: whether the run holds another
-document, and whether it holds an earlier one (a lesser doc_id). A run that goes
-on in the next partition is joined with its rest there by a few numbers for each
-border.
+several documents have are kept. They are sorted again, once with the EXTEND words
+behind them and once with those before them: rows that have words in common are
+neighbours, so a row's longest match to the right and to the left shows in the
+runs of equal words that it lies in. Of a run, for every length, the least and
+the greatest document tell whether it holds another document, or an earlier one
+(a lesser doc_id). A run that goes on in the next partition is joined with its
+rest there by a few numbers for each border. The words that extend a match are
+compared by 24 bits of their hashes, so about one in 16 million unequal words is
+taken for equal and lengthens a passage by itself.
 
 A match of two documents of MIN_WORDS words or more has a marked position within
 its first and its last WINDOW starts, and marked ones between are at most WINDOW
@@ -143,21 +144,27 @@ def _shared_keys(suffixes: DataFrame, parts: int) -> DataFrame:
 
 
 def _binary(words: np.ndarray) -> pa.Array:
-    """Rows of 32-bit words as binary values; their order as bytes is the order of the words."""
-    data = np.ascontiguousarray(words.astype(">u4"))
-    size = 4 * words.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((np.arange(len(words) + 1) * size).astype(np.int32)), pa.py_buffer(data)])
+    """Rows of 24-bit words as binary values; their order as bytes is the order of the words."""
+    n, size = len(words), 3 * words.shape[1]
+    data = np.ascontiguousarray(words.astype(">u4")).view(np.uint8).reshape(n, -1, 4)[:, :, 1:].tobytes()
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _words_of(column, n: int = EXTEND) -> np.ndarray:
+def _words_of(column) -> np.ndarray:
     """The reverse of _binary."""
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].view(">u4").astype(np.uint32).reshape(-1, n)
+    out = np.zeros((len(column), EXTEND, 4), np.uint8)
+    out[:, :, 1:] = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, EXTEND, 3)
+    return out.reshape(-1, 4).view(">u4").astype(np.uint32).reshape(-1, EXTEND)
 
 
 def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The suffixes with the EXTEND words behind their REACH words, and before them (nearest first), as 32-bit hashes; 0 is past the text's end."""
+    """Two rows for each suffix: (key, doc_id, at, words) with the EXTEND words behind its REACH words, and with those before it, nearest first.
+
+    The second has a key of its own and at less than 0 (-1 - at). A word is 24
+    bits of a hash; 0 is past the text's end.
+    """
     wanted = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
     both = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
 
@@ -171,16 +178,19 @@ def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 place = at - first[row]
                 wanted_at = np.concatenate([(np.int64(r) << 32) + places[i + int(r)].values.to_numpy(zero_copy_only=False).astype(np.int64) for r in np.unique(row)])
                 keep = np.isin((row.astype(np.int64) << 32) + place, wanted_at)
-                row, place, at, key = row[keep], place[keep], at[keep], key[keep]
-                short = np.r_[np.maximum(h >> np.uint64(32), np.uint64(1)).astype(np.uint32), np.uint32(0)]
+                row, place, at, key = row[keep], place[keep].astype(np.int32), at[keep], key[keep]
+                short = np.r_[np.maximum(h >> np.uint64(40), np.uint64(1)).astype(np.uint32), np.uint32(0)]
                 for a in range(0, len(at), 20_000):
                     s = slice(a, a + 20_000)
                     behind, before = at[s, None] + REACH + np.arange(EXTEND), at[s, None] - 1 - np.arange(EXTEND)
                     right = short[np.where(behind < first[row[s] + 1][:, None], behind, len(h))]
                     left = short[np.where(before >= first[row[s]][:, None], before, len(h))]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(ids[row[s] + i].astype(np.int64)), pa.array(place[s].astype(np.int32)), _binary(right), _binary(left)], names=["key", "doc_id", "at", "right", "left"])
+                    turned = X.mix(key[s].view(np.uint64) + np.uint64(0x3C6EF372FE94F82B)).view(np.int64)
+                    doc = ids[row[s] + i].astype(np.int64)
+                    columns = np.r_[key[s], turned], np.r_[doc, doc], np.r_[place[s], -1 - place[s]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _binary(np.r_[right, left])], names=["key", "doc_id", "at", "words"])
 
-    return both.mapInArrow(X.tidy(run), "key long, doc_id long, at int, right binary, left binary")
+    return both.mapInArrow(X.tidy(run), "key long, doc_id long, at int, words binary")
 
 
 def equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,76 +274,70 @@ def join_borders(borders: list[tuple[int, Border, Border]]) -> dict[tuple[int, b
     return out
 
 
-#: side: 1 right, 0 left. another, earlier: words in common beyond the REACH ones. to_first, to_last: words in common with the partition's border rows.
-ROWS = "doc_id long, at int, side int, another int, earlier int, kept long, part int, to_first int, to_last int, key long, left binary"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("another", pa.int32()), ("earlier", pa.int32()), ("kept", pa.int64()), ("part", pa.int32()), ("to_first", pa.int32()), ("to_last", pa.int32()), ("key", pa.int64()), ("left", pa.binary())])
+#: another, earlier: words in common beyond the REACH ones. to_first, to_last: words in common with the partition's border rows, where part is given.
+ROWS = "doc_id long, at int, another int, earlier int, kept long, part int, to_first int, to_last int, border binary"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("another", pa.int32()), ("earlier", pa.int32()), ("kept", pa.int64()), ("part", pa.int32()), ("to_first", pa.int32()), ("to_last", pa.int32()), ("border", pa.binary())])
 
 
-def _table(doc, at, side, another, earlier, kept, part=None, to_first=None, to_last=None, key=None, left=None) -> pa.RecordBatch:
-    n = len(doc)
-    columns = [doc, at, np.full(n, side), another, earlier, kept, None if part is None else np.full(n, part), to_first, to_last, key, left]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(np.asarray(c)).cast(f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+def _table(*columns) -> pa.RecordBatch:
+    n = len(columns[0])
+    columns = [*columns, *[None] * (len(SCHEMA) - len(columns))]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(np.asarray(c)).cast(f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
 
 
-def _compare(rows: DataFrame, parts: int, side: int) -> DataFrame:
-    """Rows of ROWS for the contexts of one side, sorted. With side 1 (right) the other side of keys that lie inside a partition is done too."""
-    name = "right" if side else "left"
-    order = ["key", name, "doc_id", "at"]
+def compared(batches, part: int):
+    """Tables of ROWS for columns (key, doc_id, at, words), sorted by key, words and doc_id: one partition.
 
-    def inside(key, doc, at, words, before):
-        """Whole keys: both sides at once."""
-        yield _table(doc, at, 1, *reaches(depths(key, words), doc))
-        group = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-        turned = np.argsort(np.ascontiguousarray(np.c_[group, before].astype(">u4")).view(f"S{4 * EXTEND + 4}")[:, 0], kind="stable")
-        yield _table(doc[turned], at[turned], 0, *reaches(depths(key[turned], before[turned]), doc[turned]))
+    Whole keys are done as they come; the first and the last key, which other
+    partitions may have too, at the end.
+    """
+    held: list = []
+    edge: list = []
+
+    def whole(last: bool):
+        """What is held, but for the partition's first key and the one that is not complete."""
+        key, doc, at, words = rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        begin = 0 if edge else int(np.searchsorted(key, key[0], "right"))
+        end = max(begin, int(np.searchsorted(key, key[-1])))
+        if not edge:
+            edge.append([c[:begin] for c in rows])
+        held[:] = [[c[end:] for c in rows]]
+        if last:
+            edge.extend(held)
+        s = slice(begin, end)
+        return [_table(doc[s], at[s], *reaches(depths(key[s], words[s]), doc[s]))] if begin < end else []
+
+    for rows in batches:
+        if len(rows[0]):
+            held.append(rows)
+            if sum(len(r[0]) for r in held) >= CHUNK and held[0][0][0] != held[-1][0][-1]:
+                yield from whole(False)
+    if not held:
+        return
+    yield from whole(True)
+    key, doc, at, words = (np.concatenate(x) for x in zip(*edge, strict=True))
+    depth, full = depths(key, words), (words != 0).sum(1)
+    known = reaches(depth, doc)
+    to_first = np.minimum.accumulate(np.r_[full[0], depth[1:]])
+    to_last = np.minimum.accumulate(np.r_[depth[1:], full[-1]][::-1])[::-1]
+    for a in range(0, len(key), 50_000):
+        s = slice(a, a + 50_000)
+        yield _table(doc[s], at[s], *(x[s] for x in known), np.full(len(key[s]), part), to_first[s], to_last[s])
+    ends = pickle.dumps([vars(Border(key, words, depth, doc, end)) for end in (False, True)])
+    yield pa.RecordBatch.from_arrays([pa.array([{"part": part, "border": ends}.get(f.name)], f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+def _compare(contexts: DataFrame, parts: int) -> DataFrame:
+    """The compared rows, with two rows for the borders of each partition (doc_id null)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, held, edge = TaskContext.get().partitionId(), [], []
-
-        def take(rows):
-            return [np.concatenate(x) for x in zip(*rows, strict=True)]
+        columns = ([*(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _words_of(b.column(3))] for b in batches if b.num_rows)
+        yield from compared(columns, TaskContext.get().partitionId())
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), *(_words_of(batch.column(k)) for k in range(3, batch.num_columns))])
-            if side and sum(len(r[0]) for r in held) >= CHUNK and held[0][0][0] != held[-1][0][-1]:
-                key, doc, at, words, before = take(held)
-                last = int(np.searchsorted(key, key[-1]))
-                begin = 0
-                if not edge:
-                    begin = int(np.searchsorted(key, key[0], "right"))
-                    edge.append([c[:begin] for c in (key, doc, at, words, before)])
-                if begin < last:
-                    yield from inside(*(c[begin:last] for c in (key, doc, at, words, before)))
-                held = [[c[last:] for c in (key, doc, at, words, before)]]
-        if not held and not edge:
-            return
-        if side and held:
-            key, doc, at, words, before = take(held)
-            first = 0 if edge else int(np.searchsorted(key, key[0], "right"))
-            last = max(first, int(np.searchsorted(key, key[-1])))
-            if not edge:
-                edge.append([c[:first] for c in (key, doc, at, words, before)])
-            if first < last:
-                yield from inside(*(c[first:last] for c in (key, doc, at, words, before)))
-            held = [*edge, [c[last:] for c in (key, doc, at, words, before)]]
-        # the partition's first and last key, which other partitions may have too
-        key, doc, at, words, *before = take(held)
-        depth, full = depths(key, words), (words != 0).sum(1)
-        known = reaches(depth, doc)
-        to_first = np.minimum.accumulate(np.r_[full[0], depth[1:]])
-        to_last = np.minimum.accumulate(np.r_[depth[1:], full[-1]][::-1])[::-1]
-        for a in range(0, len(key), 50_000):
-            s = slice(a, a + 50_000)
-            yield _table(doc[s], at[s], side, *(x[s] for x in known), part, to_first[s], to_last[s], key[s], _binary(before[0][s]) if side else None)
-        ends = pickle.dumps([vars(Border(key, words, depth, doc, end)) for end in (False, True)])
-        yield pa.RecordBatch.from_arrays([pa.array([{"part": part, "left": ends}.get(f.name)], f.type) for f in SCHEMA], schema=SCHEMA)
-
-    chosen = rows.select("key", "doc_id", "at", name, *(["left"] if side else []))
-    return materialise(chosen.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(X.tidy(run), ROWS))
+    order = ["key", "words", "doc_id", "at"]
+    return materialise(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(X.tidy(run), ROWS))
 
 
 def _settled(found: DataFrame) -> DataFrame:
@@ -345,18 +349,18 @@ def _settled(found: DataFrame) -> DataFrame:
         return b
 
     # two rows a partition, not of the data
-    ends = sorted((r["part"], pickle.loads(bytes(r["left"]))) for r in found.where("doc_id is null").select("part", "left").toLocalIterator())
+    ends = sorted((r["part"], pickle.loads(bytes(r["border"]))) for r in found.where("doc_id is null").select("part", "border").toLocalIterator())
     shared = found.sparkSession.sparkContext.broadcast(join_borders([(p, border(a), border(b)) for p, (a, b) in ends]))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, at, side, another, earlier, kept = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(6))
-            part = batch.column(6).fill_null(-1).to_numpy(zero_copy_only=False)
+            doc, at, another, earlier, kept = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(5))
+            part = batch.column(5).fill_null(-1).to_numpy(zero_copy_only=False)
             for p in np.unique(part[part >= 0]).tolist():
                 rows = np.flatnonzero(part == p)
-                for end, column in ((False, 7), (True, 8)):
+                for end, column in ((False, 6), (True, 7)):
                     depth = batch.column(column).to_numpy(zero_copy_only=False)[rows]
                     least, most = shared.value[p, end]
                     for n in range(EXTEND + 1):
@@ -367,15 +371,14 @@ def _settled(found: DataFrame) -> DataFrame:
                             another[inside] = np.maximum(another[inside], n)
                         later = inside[(doc[inside] > least[n]) & ((earlier[inside] < n) | (earlier[inside] == n) & (kept[inside] > least[n]))]
                         earlier[later], kept[later] = n, least[n]
-            far = np.where(side == 1, REACH + another, REACH).astype(np.int32), np.where(side == 1, REACH + earlier, REACH).astype(np.int32)
-            begin = np.where(side == 0, at - another, at).astype(np.int32), np.where(side == 0, at - earlier, at).astype(np.int32)
             keep = another >= 0
-            later = pa.array(earlier[keep] < 0)
-            columns = [pa.array(doc[keep]), pa.array(begin[0][keep]), pa.array((at + far[0])[keep].astype(np.int32))]
-            columns += [pa.array(c[keep].astype(t), mask=later.to_numpy(zero_copy_only=False)) for c, t in ((begin[1], np.int32), (at + far[1], np.int32), (kept, np.int64))]
+            doc, at, another, earlier, kept = (x[keep] for x in (doc, at, another, earlier, kept))
+            right, place, none = at >= 0, np.where(at >= 0, at, -1 - at), earlier < 0
+            spans = [(np.where(right, place, place - n).astype(np.int32), (place + REACH + np.where(right, n, 0)).astype(np.int32)) for n in (another, earlier)]
+            columns = [pa.array(doc), *map(pa.array, spans[0]), *(pa.array(c, mask=none) for c in (*spans[1], kept))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "later_start", "later_end", "kept"])
 
-    return found.where("doc_id is not null").drop("key", "left").mapInArrow(X.tidy(run), "doc_id long, start int, end int, later_start int, later_end int, kept long")
+    return found.where("doc_id is not null").drop("border").mapInArrow(X.tidy(run), "doc_id long, start int, end int, later_start int, later_end int, kept long")
 
 
 def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -440,9 +443,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = range_parts(docs)
     shared = materialise(_shared_keys(_suffixes(docs), parts))
-    right = _compare(_contexts(docs, shared), parts, 1)  # read twice, by the range sample too: cheaper than a copy on disk
-    left = _compare(right.where("part is not null and doc_id is not null"), parts, 0)
-    return _by_document(_settled(right).unionByName(_settled(left)))
+    compared_rows = _compare(_contexts(docs, shared), parts)  # contexts are read twice, by the range sample too: cheaper than a copy on disk
+    return _by_document(_settled(compared_rows))
 
 
 def remove_passages(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
