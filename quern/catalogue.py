@@ -33,11 +33,17 @@ def registered(sql: str | None = None):
     return add
 
 
+def _more() -> None:
+    from quern import catalogue_more  # noqa: F401  it registers its queries here
+
+
 def queries() -> dict:
+    _more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_SQL)
 
 
@@ -57,6 +63,9 @@ def asked(spark: SparkSession, sf_dir: str, path: str, request: dict) -> DataFra
     return (query.aggregate if r.aggregate else query.rows)(df, r)
 
 
+#: A limit that no table reaches, where a page of all rows is asked for.
+ALL_ROWS = (1 << 31) - 1
+
 CUSTOMER = "'/customers/' || c_custkey || '.json'"
 PART = "'/parts/' || p_partkey || '.json'"
 ORDER = "'/orders/' || o_orderkey || '.json'"
@@ -228,14 +237,16 @@ def fuzzy_osa_k1(spark, sf_dir):
     return rows.withColumn("score", F.round("score", 6))
 
 
-@registered()
+@registered(f"SELECT {PART} AS path, p_name, round(1 - damerau_levenshtein(p_name, 'rde wdiget') / greatest(strlen(p_name), 10)::DOUBLE, 6) AS score FROM part WHERE damerau_levenshtein(p_name, 'rde wdiget') <= 2")
 def fuzzy_osa_auto(spark, sf_dir):
-    return found(spark, sf_dir, "/parts", {"field": "p_name", "op": "fuzzy", "value": "rde wdiget"}, "p_name", "score")
+    rows = found(spark, sf_dir, "/parts", {"field": "p_name", "op": "fuzzy", "value": "rde wdiget"}, "p_name", "score")
+    return rows.withColumn("score", F.round("score", 6))
 
 
 @registered()
 def fuzzy_jaro_winkler(spark, sf_dir):
-    return found(spark, sf_dir, "/parts", {"field": "p_name", "op": "fuzzy", "value": "red wigdet", "algorithm": "jaro_winkler"}, "p_name", "score")
+    rows = found(spark, sf_dir, "/parts", {"field": "p_name", "op": "fuzzy", "value": "red wigdet", "algorithm": "jaro_winkler"}, "p_name", "score")
+    return rows.withColumn("score", F.round("score", 6))
 
 
 @registered()
@@ -304,10 +315,10 @@ def sort_multi(spark, sf_dir):
     return asked(spark, sf_dir, "/parts", {"where": {"field": "p_size", "op": "gt", "value": 10}, "order_by": [{"field": "p_size", "direction": "desc"}, {"field": "p_name"}], "limit": 100, "select": ["@path", "p_size"]})
 
 
-@registered(f"SELECT {DOCUMENT} AS path, CAST(quality AS VARCHAR) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY labels.quality ASC NULLS FIRST, path LIMIT 650")
+@registered(f"SELECT {DOCUMENT} AS path, CAST(quality AS VARCHAR) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY labels.quality ASC NULLS FIRST, path")
 def sort_nulls(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
-    return query.rows(standard().at("/documents").load(spark, docs), Request(all_rows=True, order_by=[("quality", False)], limit=650, select=["@path", "quality"])).withColumn("quality", F.col("quality").cast("string"))
+    return query.rows(standard().at("/documents").load(spark, docs), Request(all_rows=True, order_by=[("quality", False)], limit=ALL_ROWS, select=["@path", "quality"])).withColumn("quality", F.col("quality").cast("string"))
 
 
 @registered(f"SELECT {CUSTOMER} AS path FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal, path LIMIT 30 OFFSET 45")
@@ -350,9 +361,9 @@ def include_total(spark, sf_dir):
     return spark.createDataFrame([(page.total, page.items.count(), page.has_more)], "total long, returned long, has_more boolean")
 
 
-@registered(f"SELECT {CUSTOMER} AS path, c_name, 1.0::DOUBLE AS score FROM customer WHERE c_nationkey = 7 ORDER BY path LIMIT 1000")
+@registered(f"SELECT {CUSTOMER} AS path, c_name, 1.0::DOUBLE AS score FROM customer WHERE c_nationkey = 7 ORDER BY path")
 def select_projection(spark, sf_dir):
-    return asked(spark, sf_dir, "/customers", {"where": {"field": "c_nationkey", "op": "eq", "value": 7}, "limit": 1000, "select": ["@path", "c_name", "@score"]})
+    return asked(spark, sf_dir, "/customers", {"where": {"field": "c_nationkey", "op": "eq", "value": 7}, "limit": ALL_ROWS, "select": ["@path", "c_name", "@score"]})
 
 
 # --- search ----------------------------------------------------------------

@@ -182,22 +182,74 @@ def deep_merge(target: Column, patch: Column) -> Column:
 
 
 _JQ_STEP = re.compile(r"\.?(?:\[(-?\d*)\]|\[\"([^\"]*)\"\]|([A-Za-z_]\w*)|\"([^\"]*)\")")
+_JQ_SELECT = re.compile(r"select\(\s*(.+?)\s*(==|!=|<=|>=|<|>)\s*(.+?)\s*\)$")
+_JQ_OPS = {"==": ("eq", False), "!=": ("eq", True), ">": ("gt", False), "<": ("lt", False), "<=": ("gt", True), ">=": ("lt", True)}
 
 
-def jq(body: Column, expression: str) -> Column:
-    """Outputs (array of variants) of a jq path expression: .a.b, .[0], .[], .["k"], and pipes of them."""
+def _jq_path(stage: str) -> list:
     segments: list = []
-    for stage in expression.split("|"):
-        rest = stage.strip()
-        rest = "" if rest == "." else rest
-        while rest:
-            m = _JQ_STEP.match(rest)
-            if not m or not m[0]:
-                raise ValueError(f"unsupported jq expression: {stage.strip()}")
-            place = m[1]
-            segments.append("" if place == "" else int(place) if place is not None else next(x for x in m.groups()[1:] if x is not None))
-            rest = rest[m.end() :]
-    return walk_paths(body, segments)
+    rest = "" if stage == "." else stage
+    while rest:
+        m = _JQ_STEP.match(rest)
+        if not m or not m[0]:
+            raise ValueError(f"unsupported jq expression: {stage}")
+        place = m[1]
+        segments.append("" if place == "" else int(place) if place is not None else next(x for x in m.groups()[1:] if x is not None))
+        rest = rest[m.end() :]
+    return segments
+
+
+def _jq_stages(expression: str) -> list[str]:
+    """The parts between pipes that are in no brackets."""
+    out, depth = [""], 0
+    for c in expression:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [s.strip() for s in out]
+
+
+def _walked(values: Column, segments: list) -> Column:
+    for s in segments:
+        step = _step(s)
+        values = F.filter(F.flatten(F.transform(values, step)), lambda v: v.isNotNull())
+    return values
+
+
+def _selector(path: list, op: str, turned: bool, literal):
+    def fits(v: Column) -> Column:
+        hit = F.exists(_walked(F.array(v), path), lambda x: compare(x, op, literal))
+        return ~hit if turned else hit
+
+    return fits
+
+
+def _mapper(path: list):
+    return lambda v: F.parse_json(F.to_json(_walked(_step("")(v), path)))
+
+
+def jq(body: Column, expression: str) -> Column:
+    """Outputs (array of variants) of a jq expression: paths (.a.b, .[0], .[], .["k"]), pipes of them, select(path op literal), map(...), keys, length."""
+    values = F.filter(F.array(F.try_parse_json(body)), lambda v: v.isNotNull())
+    for stage in _jq_stages(expression):
+        if m := _JQ_SELECT.match(stage):
+            path, (op, turned), literal = _jq_path(m[1]), _JQ_OPS[m[2]], json.loads(m[3])
+
+            values = F.filter(values, _selector(path, op, turned, literal))
+        elif stage.startswith("map(") and stage.endswith(")"):
+            inner = [_jq_path(s) for s in _jq_stages(stage[4:-1])]
+            path = [x for p in inner for x in p]
+            values = F.transform(values, _mapper(path))
+        elif stage == "keys":
+            values = F.transform(values, lambda v: F.parse_json(F.to_json(F.array_sort(F.map_keys(F.try_variant_get(v, "$", MAP))))))
+        elif stage == "length":
+            size = lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", LIST)), F.size(F.map_keys(F.try_variant_get(v, "$", MAP))), F.length(F.try_variant_get(v, "$", "string")))
+            values = F.transform(values, lambda v: F.parse_json(size(v).cast("string")))
+        else:
+            values = _walked(values, _jq_path(stage))
+    return values
 
 
 def parse_timestamp(text: Column) -> Column:

@@ -156,3 +156,30 @@ def candidates(index: DataFrame, field: str, strategy: str, query: str, every: b
 def statistics(index: DataFrame) -> DataFrame:
     """(field, strategy, entries, values, documents) of each index."""
     return index.groupBy("field", "strategy").agg(F.count("*").alias("entries"), F.count_distinct("token").alias("values"), F.count_distinct("path").alias("documents"))
+
+
+def similar_pairs(df: DataFrame, field: str, by: str, threshold: float) -> DataFrame:
+    """(a, b, score): pairs of documents with equal ``by`` whose trigram Dice score is at least the threshold, a before b.
+
+    Prefix filtering: with the trigrams of a value ordered from the rarest, two
+    values of n and m of them that score t share one among the first
+    n - ceil(t n / (2 - t)) + 1 of each; only those rare ones are joined.
+    """
+    rows = df.where(F.col(field).isNotNull()).select("path", F.col(by).alias("by"), F.xxhash64(by, field).alias("value"), text.trigrams(F.col(field).cast("string")).alias("tokens")).where("size(tokens) > 0")
+    # equal values are one: their pairs follow from the pairs of distinct values
+    distinct = rows.groupBy("by", "value").agg(F.any_value("tokens").alias("tokens"))
+    often = distinct.select("by", F.explode("tokens").alias("token")).groupBy("by", "token").agg(F.count("*").alias("n"))
+    spread = distinct.select("by", "value", F.explode("tokens").alias("token")).join(often, ["by", "token"])
+    ranked = spread.groupBy("by", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    size = F.size("tokens")
+    first = F.slice("tokens", F.lit(1), (size - F.ceil(size * threshold / (2 - threshold)) + 1).cast("int"))
+    heads = ranked.select("by", "value", "tokens", F.explode(first).alias("token"))
+    a, b = heads.alias("a"), heads.alias("b")
+    met = a.join(b, F.expr("a.by = b.by and a.token = b.token and a.value < b.value")).select(F.col("a.by").alias("by"), F.col("a.value").alias("v"), F.col("b.value").alias("w"), F.col("a.tokens").alias("t"), F.col("b.tokens").alias("u"))
+    score = text.dice(F.col("t"), F.col("u"))
+    linked = met.dropDuplicates(["by", "v", "w"]).select("by", "v", "w", score.alias("score")).where(F.col("score") >= threshold)
+    same = distinct.select("by", F.col("value").alias("v"), F.col("value").alias("w"), F.lit(1.0).alias("score"))
+    member = rows.select("by", "value", "path")
+    every = linked.unionByName(linked.select("by", F.col("w").alias("v"), F.col("v").alias("w"), "score")).unionByName(same)
+    left = every.join(member.select("by", F.col("value").alias("v"), F.col("path").alias("a")), ["by", "v"])
+    return left.join(member.select("by", F.col("value").alias("w"), F.col("path").alias("b")), ["by", "w"]).where("a < b").select("a", "b", "score")

@@ -108,3 +108,28 @@ def locators(text: Column, wanted: list[str], most: int = 5) -> Column:
         return values.map(places, na_action="ignore")
 
     return run(text)
+
+
+def _leaves(node) -> list:
+    """The conditions of a tree outside any not."""
+    if isinstance(node, predicates.Leaf):
+        return [node]
+    return [] if isinstance(node, predicates.Not) else [x for c in node.children for x in _leaves(c)]
+
+
+def field_locators(found: DataFrame, node, fetch: str) -> DataFrame:
+    """(path, field, term, value, fetch): for each row, which metadata, columns and JSON fields hold the terms of the tree.
+
+    value is the field's text; fetch names the collection to ask for the row. Terms
+    of eq and in must be the value, others be inside it, letter case aside.
+    """
+    parts = []
+    for leaf in _leaves(node):
+        for term in terms(leaf):
+            value = predicates.field_column(found, leaf.field).cast("string")
+            holds = value == term if leaf.op in ("eq", "in") else F.contains(F.lower(value), F.lit(term.lower()))
+            parts.append(F.when(holds, F.struct(F.lit(leaf.field).alias("field"), F.lit(term).alias("term"), value.alias("value"))))
+    if not parts:
+        return found.select("path", F.lit("").alias("field"), F.lit("").alias("term"), F.lit("").alias("value"), F.lit(fetch).alias("fetch")).limit(0)
+    rows = found.select("path", F.explode(F.array_compact(F.array(*parts))).alias("l"))
+    return rows.select("path", "l.field", "l.term", "l.value", F.lit(fetch).alias("fetch"))

@@ -35,6 +35,22 @@ def promote_fork(head: DataFrame, forks: DataFrame, name: str) -> tuple[DataFram
     return forks.where(F.col("version") == name).select(*head.columns), forks.where(F.col("version") != name)
 
 
+def create_fork(forks: DataFrame, head: DataFrame, name: str) -> DataFrame:
+    """forks with the rows of head under a new name; a name that is taken is an error."""
+    if not forks.where(F.col("version") == name).isEmpty():
+        raise ValueError(f"there is a fork {name!r}")
+    return add_snapshot(forks, head, name)
+
+
+def abandon_fork(forks: DataFrame, name: str) -> DataFrame:
+    return drop_snapshot(forks, name)
+
+
+def list_forks(forks: DataFrame) -> DataFrame:
+    """(version, files) of every fork."""
+    return forks.groupBy("version").agg(F.count("*").alias("files"))
+
+
 def rename_snapshot(store: DataFrame, old: str, new: str) -> DataFrame:
     return store.withColumn("version", F.when(F.col("version") == old, new).otherwise(F.col("version")))
 
@@ -128,6 +144,22 @@ def merged(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     return kept.unionByName(remote.join(ops.where("operation = 'add'").select("path"), "path", "left_semi"))
 
 
+def merge_links(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """three_way_merge() of symbolic links (path, target, updated_at), by the same rules on their targets; content_hash is named target."""
+    rows = [v.select("path", F.col("target").alias("content_hash"), "updated_at") for v in (base, local, remote)]
+    return three_way_merge(*rows).withColumnRenamed("content_hash", "target")
+
+
+def list_conflicts(ops: DataFrame) -> DataFrame:
+    """The operations of a merge that met a conflict."""
+    return ops.where("conflict is not null")
+
+
+def dismiss_conflicts(ops: DataFrame, paths_: list[str]) -> DataFrame:
+    """The conflicts of these paths settled as they were decided; the others stay."""
+    return ops.withColumn("conflict", F.when(~F.col("path").isin(*paths_), F.col("conflict")) if paths_ else F.col("conflict"))
+
+
 def resolve_conflicts(ops: DataFrame, choice: dict[str, str]) -> DataFrame:
     """Conflicts with the chosen side (local or remote) as winner; others keep theirs."""
     if not choice:
@@ -156,6 +188,16 @@ def broken(files: DataFrame) -> DataFrame:
     return files.where(F.sha2(F.col("body").cast("binary"), 256) != F.col("content_hash")).select("path", "content_hash")
 
 
+def repaired(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """files with the body of each broken one taken from contents (content_hash, body); status: ok, repaired or lost."""
+    sound = F.sha2(F.col("body").cast("binary"), 256) == F.col("content_hash")
+    good = contents.select("content_hash", F.col("body").alias("_good")).where(F.sha2(F.col("_good").cast("binary"), 256) == F.col("content_hash")).dropDuplicates(["content_hash"])
+    joined = files.join(good, "content_hash", "left")
+    status = F.when(F.coalesce(sound, F.lit(False)), "ok").when(F.col("_good").isNotNull(), "repaired").otherwise("lost")
+    fixed = joined.withColumn("status", status).withColumn("body", F.when(F.col("status") == "repaired", F.col("_good")).otherwise(F.col("body")))
+    return fixed.select(*files.columns, "status")
+
+
 def live(log: DataFrame) -> DataFrame:
     """The current rows of a log of (path, seq, deleted, ...): the last entry of each path, unless it is a deletion."""
     last = log.groupBy("path").agg(F.max_by(F.struct(*[c for c in log.columns if c != "path"]), "seq").alias("_r"))
@@ -168,6 +210,26 @@ def deleted(log: DataFrame) -> DataFrame:
     return last.where("gone").select("path", "content_hash")
 
 
+def restored(log: DataFrame, paths_: DataFrame, seq: int) -> DataFrame:
+    """Entries that bring deleted paths (path) back with their last content; paths that live, or never had any, give none."""
+    back = deleted(log).where("content_hash is not null").join(paths_.select("path"), "path", "left_semi")
+    return back.select("path", F.lit(seq).cast(log.schema["seq"].dataType).alias("seq"), F.lit(False).alias("deleted"), "content_hash")
+
+
+def removed_directory(files: DataFrame, path: str, recursive: bool = False) -> DataFrame:
+    """files without a directory; one that is not empty goes only if recursive."""
+    inside = F.col("path").startswith(path.rstrip("/") + "/")
+    if not recursive and not files.where(inside).isEmpty():
+        raise ValueError(f"{path} is not empty")
+    return files.where(~inside)
+
+
+def linked(links: DataFrame, path: str, target: str) -> DataFrame:
+    """links with a symbolic link set: a new one, or the old one led elsewhere."""
+    new = links.sparkSession.createDataFrame([(path, target)], "path string, target string")
+    return links.where(F.col("path") != path).select("path", "target").unionByName(new)
+
+
 def moved(files: DataFrame, old: str, new: str, copy: bool = False) -> DataFrame:
     """files with everything at or under old moved (or copied) to new; what is there already is replaced."""
     inside = (F.col("path") == old) | F.col("path").startswith(old.rstrip("/") + "/")

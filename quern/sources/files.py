@@ -67,6 +67,20 @@ def write_archives(files: DataFrame, archives: int) -> DataFrame:
     return dealt.groupBy("archive").applyInPandas(pack, "archive int, zip binary")
 
 
+def read_archives(archives: DataFrame) -> DataFrame:
+    """(path, content) of every file in ZIP archives (column zip)."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def unpack(batches):
+        for batch in batches:
+            for value in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(value.as_py())) as z:
+                    for info in z.infolist():  # a file at a time: an archive may be large
+                        yield pa.RecordBatch.from_arrays([pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], schema=schema)
+
+    return archives.select("zip").mapInArrow(unpack, "path string, content binary")
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """(path, title, text, metadata as JSON): text and HTML by column expressions, binary formats by their parsers."""
     kinds = [e for e in binary_parsers.FORMATS]
@@ -81,10 +95,30 @@ def parsed(files: DataFrame) -> DataFrame:
     return html.unionByName(text).unionByName(binary_parsers.parse_files(binary).select("path", "title", "text", "metadata"))
 
 
+class Host:
+    """What a user's query function may ask: collections, of which it sees the rows that its caller may read."""
+
+    def __init__(self, spark: SparkSession, catalog, source: str | DataFrame, permissions: DataFrame, groups: list[str]):
+        self.spark, self.catalog, self.source, self.permissions, self.groups = spark, catalog, source, permissions, groups
+
+    def query(self, path: str, request: dict) -> DataFrame:
+        """A page of a collection; access filters before conditions and limits."""
+        from quern.operators import access
+        from quern.plans import query
+
+        readable = access.filter_readable(self.catalog.at(path).load(self.spark, self.source), self.permissions, self.groups)
+        return query.rows(readable, query.Request.from_json(request))
+
+
 class Functions:
-    """Named functions of a user: parsers (binary -> JSON), mappers of field values, query functions."""
+    """Named functions of a user: parsers (binary -> JSON), mappers of field values, query functions, static methods of Java classes.
+
+    Parsers are found by their name or by the content type that they are given for.
+    """
 
     def __init__(self):
+        self.types: dict[str, str] = {}
+        self.natives: dict[str, tuple[str, str]] = {}
         self.parsers: dict[str, Callable[[bytes], dict]] = {}
         self.mappers: dict[str, Callable[[object], object]] = {}
         self.queries: dict[str, Callable] = {}
@@ -98,6 +132,23 @@ class Functions:
 
         return run(content)
 
+    def parser_of(self, content_type: str) -> str | None:
+        """The parser of a content type: its own, or that of its main type (as "text/*")."""
+        return self.types.get(content_type) or self.types.get(content_type.split("/")[0] + "/*")
+
+    def parse(self, files: DataFrame, content: str = "content") -> DataFrame:
+        """files with column parsed (JSON) by the parser of their content type; null where there is none."""
+        out = F.lit(None).cast("string")
+        for kind, name in self.types.items():
+            fits = F.col("content_type").startswith(kind[:-1]) if kind.endswith("/*") else F.col("content_type") == kind
+            mine = fits if not kind.endswith("/*") else fits & ~F.col("content_type").isin(*(k for k in self.types if not k.endswith("/*")))
+            out = F.coalesce(out, self.parser(name, F.when(mine, F.col(content).cast("binary"))))
+        return files.withColumn("parsed", out)
+
+    def native(self, name: str, *args: Column) -> Column:
+        """A static method of a class in the JVM, by (class, method); null where it fails. No Python process takes part."""
+        return F.call_function("try_reflect", *map(F.lit, self.natives[name]), *args)
+
     def mapper(self, name: str, value: Column, result: str = "string") -> Column:
         function = self.mappers[name]
 
