@@ -265,7 +265,14 @@ def test_trie_shared_counts_equal_word_by_word_counts(spark):
     table, longest, byte = token_counts.unigram()
     rng = random.Random(3)
     some = sorted({"".join(rng.choice("abcethéßЖ漢") for _ in range(rng.randrange(1, 14))) for _ in range(400)} | {"the", "there", "therefore", "x" * 300})
-    assert token_counts.count_sorted(some, table, longest, byte) == {w: brute_tokens(w, table, longest, byte) for w in some}
+    brute = {w: brute_tokens(w, table, longest, byte) for w in some}
+    assert token_counts.count_sorted(some, table, longest, byte) == brute
+    some += ["a\0", "\0", "b\0c", "𝔘x", "e" * 47, "e" * 48, "e" * 49]
+    rng.shuffle(some)
+    trie = token_counts.Trie(table, longest, byte)
+    assert trie.counts(some) == brute | {w: brute_tokens(w, table, longest, byte) for w in some} and trie.counts([]) == {}
+    # pieces that tie: fewer tokens
+    assert token_counts.Trie({"▁a": -1.0, "b": -1.0, "▁ab": -2.0}, 3, -9.0).counts(["ab", "a", "abz"]) == {"ab": 1, "a": 1, "abz": 2}
     got = token_counts.count_tokens(awkward(spark, edge_rows())).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(edge_rows()) and (by[1].n_tokens, by[2].n_tokens, by[3].n_words) == (0, 0, 0)
