@@ -5,10 +5,11 @@ The classes of a large label are dealt to cells around sampled pivots, each to
 its nearest ones, the more of them the more classes (and so pivots) the label
 has; a cell is a shard, and one that is too large is cut into blocks, each pair
 of blocks being a shard, so that any two vectors of a cell still meet. In each
-shard a graph is built (nearest candidates, robust prune) and every vector
-searches it: greedily from the shard's medoid to itself, then expanding the
-range while similarities stay near the threshold. What it finds is verified by
-cosine in double precision.
+shard a graph is built: its vectors are dealt to small overlapping clusters around
+local pivots, candidates are the nearest in each cluster, a vector's lists from all
+its clusters are united and robust-pruned. Every vector searches the graph: greedily
+from the shard's medoid to itself, then expanding the range while similarities
+stay near the threshold. What it finds is verified by cosine in double precision.
 
 A pair is counted in the first shard that both share, so shards return sums and
 the roots of their local components, never pairs. Recall is audited in every
@@ -19,7 +20,8 @@ overlap and a wider range; what still falls short after ATTEMPTS, or has too few
 links to be audited, is compared exactly, pair by pair.
 
 Defined results: a vector that is null, zero, or has null or non-finite
-components, or a null label, links with nothing. Repeated rows of a vec_id are
+components, or a null label, links with nothing. Labels of any type are compared
+as texts. Repeated rows of a vec_id are
 one vector (the least by content); rows with a null vec_id are left out. Other
 columns are not read.
 """
@@ -41,9 +43,11 @@ from quern.llm.common import connected_components, materialise, small_side
 THRESHOLD = 0.93
 #: A cell aims at CELL vectors; a shard has at most 2 * BLOCK.
 CELL, BLOCK, OVERLAP, ATTEMPTS = 1000, 1500, 2, 3
-DEGREE, CANDIDATES, ALPHA, HOPS, SLACK = 16, 48, 1.2, 60, 0.06
-#: Pivots are broadcast: 16,384 at most; with more vectors the cells grow and are cut into blocks.
-MAX_PIVOTS = 16_384
+DEGREE, CANDIDATES, FAR, ALPHA, HOPS, SLACK = 16, 32, 6, 1.2, 60, 0.06
+#: A shard's clusters: each aims at LEAF vectors, of which each is in LEAVES, and has LEAF_MOST at most.
+LEAF, LEAVES, LEAF_MOST = 96, 3, 384
+#: Pivots are broadcast: so many bytes of them at most; with more vectors the cells grow and are cut into blocks.
+PIVOT_BYTES = 64 << 20
 #: First sample of an audit, linked classes that it needs, bytes of vectors that are broadcast at once.
 AUDIT, LINKED, CHUNK, MIN_RECALL = 500, 100, 32 << 20, 0.95
 SUMS = "rep long, n long, pairs long, root long"
@@ -63,35 +67,69 @@ def unit_rows(column) -> list[bytes | None]:
     return out
 
 
-def robust_prune(sims: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+def candidates(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n by CANDIDATES nodes, nearest first, and their similarities): the lists of overlapping clusters united; the node itself fills up."""
+    n, rng = len(vectors), np.random.default_rng(len(vectors))
+    if n <= LEAF_MOST:
+        groups = [np.arange(n)]
+    else:
+        pivots = rng.choice(n, -(-LEAVES * n // LEAF), replace=False)
+        home = np.argpartition(-(vectors @ vectors[pivots].T), LEAVES - 1, 1)[:, :LEAVES].ravel()
+        order = np.argsort(home, kind="stable")
+        groups = []
+        for members in np.split(order // LEAVES, np.flatnonzero(np.diff(home[order])) + 1):
+            parts = -(-len(members) // LEAF_MOST)
+            groups += np.array_split(rng.permutation(members), parts) if parts > 1 else [members]
+    node, other, sims = [], [], []
+    for g in groups:
+        local = (vectors[g] @ vectors[g].T).astype(np.float32)
+        c = min(CANDIDATES, len(g))
+        near = np.argpartition(-local, c - 1, 1)[:, :c]
+        node.append(np.repeat(g, c))
+        other.append(g[near].ravel())
+        sims.append(np.take_along_axis(local, near, 1).ravel())
+    far = rng.integers(0, n, (n, FAR))  # long edges
+    node.append(np.repeat(np.arange(n), FAR))
+    other.append(far.ravel())
+    sims.append(np.einsum("ikj,ij->ik", vectors[far], vectors).astype(np.float32).ravel())
+    node, other, sims = np.concatenate(node), np.concatenate(other), np.concatenate(sims)
+    _, once = np.unique(node * n + other, return_index=True)
+    node, other, sims = node[once], other[once], sims[once]
+    order = np.lexsort((-sims, node))
+    node, other, sims = node[order], other[order], sims[order]
+    rank = np.arange(len(node)) - np.searchsorted(node, node)
+    near, value = np.tile(np.arange(n)[:, None], CANDIDATES + FAR), np.ones((n, CANDIDATES + FAR), np.float32)
+    keep = rank < CANDIDATES + FAR
+    near[node[keep], rank[keep]], value[node[keep], rank[keep]] = other[keep], sims[keep]
+    return near, value
+
+
+def robust_prune(vectors: np.ndarray, order: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """For each row, out of its candidates (nearest first): the nearest goes in and hides those much nearer to it."""
     n, c = order.shape
-    dist = np.maximum(0, 1 - np.take_along_axis(sims, order, 1))
-    open_ = order != np.arange(n)[:, None]
     out = np.full((n, degree), -1, np.int64)
-    rows = np.arange(n)
-    for k in range(degree):
-        first = open_.argmax(1)
-        some = open_[rows, first]
-        if not some.any():
-            break
-        chosen = order[rows, first]
-        out[some, k] = chosen[some]
-        between = np.maximum(0, 1 - sims[chosen[:, None], order])
-        open_ &= alpha * between > dist
-        open_[rows, first] = False
+    small = vectors.astype(np.float32)
+    for a in range(0, n, 256):
+        own = order[a : a + 256]
+        rows = np.arange(len(own))
+        dist = np.maximum(0, 1 - sims[a : a + 256])
+        held = small[own]
+        between = np.maximum(0, 1 - held @ held.transpose(0, 2, 1))
+        open_ = own != (rows + a)[:, None]
+        for k in range(degree):
+            first = open_.argmax(1)
+            some = open_[rows, first]
+            if not some.any():
+                break
+            out[a + np.flatnonzero(some), k] = own[rows, first][some]
+            open_ &= alpha * between[rows, first] > dist
+            open_[rows, first] = False
     return out
 
 
 def build(vectors: np.ndarray) -> np.ndarray:
     """Adjacency (n by DEGREE, -1 for none) of the robust-pruned graph of one shard."""
-    sims = (vectors @ vectors.T).astype(np.float32)
-    c = min(CANDIDATES, len(vectors))
-    near = np.argpartition(-sims, c - 1, 1)[:, :c]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), 1, kind="stable"), 1)
-    far = np.random.default_rng(len(vectors)).integers(0, len(vectors), (len(vectors), 8))  # long edges
-    far = np.take_along_axis(far, np.argsort(-np.take_along_axis(sims, far, 1), 1, kind="stable"), 1)
-    return robust_prune(sims, np.c_[near, far])
+    return robust_prune(vectors, *candidates(vectors))
 
 
 def undirected(one: np.ndarray, two: np.ndarray, n: int) -> list[np.ndarray]:
@@ -171,34 +209,43 @@ def _cells(classes: DataFrame, more: int) -> DataFrame:
     overlap = {(r["label"], r["dim"]): _overlap(r["n"]) + more for r in large}
     # the mean cell has 2 * CELL classes, whatever the overlap
     wanted = {g: n / (2 * CELL) for g, n in overlap.items()}
-    fit = min(1.0, MAX_PIVOTS / max(1.0, sum(r["n"] * wanted[r["label"], r["dim"]] for r in large)))
-    shares = spark.createDataFrame([(*g, max(1, int(min(1.0, fit * w) * (1 << 30)))) for g, w in wanted.items()], "label int, dim int, share long")
+    fit = min(1.0, PIVOT_BYTES / max(1.0, sum(8 * r["dim"] * r["n"] * wanted[r["label"], r["dim"]] for r in large)))
+    shares = spark.createDataFrame([(*g, max(1, int(min(1.0, fit * w) * (1 << 30)))) for g, w in wanted.items()], "label string, dim int, share long")
     picked = classes.join(F.broadcast(shares), ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 30)) < F.col("share"))
     pivots: dict[tuple, list] = {}
-    for r in picked.select("label", "dim", "rep", "unit").orderBy("rep").limit(2 * MAX_PIVOTS).toLocalIterator():
+    room = 2 * PIVOT_BYTES  # the sample has about half of it
+    for r in picked.select("label", "dim", "rep", "unit").orderBy("rep").toLocalIterator():
+        if room < len(r["unit"]):
+            break
         pivots.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(bytes(r["unit"])))
+        room -= len(r["unit"])
     shared = spark.sparkContext.broadcast({g: np.array(v) for g, v in pivots.items()})
 
     def nearest(batches):
         for batch in batches:
-            out = []
-            for label, dim, unit in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True):
-                p = shared.value.get((label, dim))
-                if p is None:
-                    out.append([0])
-                else:
-                    s = p @ np.frombuffer(unit)
-                    out.append(np.argsort(-s, kind="stable")[: overlap[label, dim]].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.list_(pa.int32()))], names=["rep", "label", "dim", "size", "unit", "cells"])
-
-    dealt = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(nearest), "rep long, label int, dim int, size long, unit binary, cells array<int>")
+            cells: list = [[0]] * batch.num_rows
+            labels, dims, units = (batch.column(k).to_pylist() for k in (1, 2, 4))
+            rows: dict[tuple, list[int]] = {}
+            for k, g in enumerate(zip(labels, dims, strict=True)):
+                if g in shared.value:
+                    rows.setdefault(g, []).append(k)
+            for g, ks in rows.items():
+                p, many = shared.value[g], overlap[g]
+                own = np.array([np.frombuffer(units[k]) for k in ks])
+                for strip in _strips(len(ks), len(p)):
+                    order = np.argsort(-(own[strip] @ p.T), 1, kind="stable")[:, :many]
+                    for k, c in zip(ks[strip], order.tolist(), strict=True):
+                        cells[k] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cells, pa.list_(pa.int32()))], names=["rep", "label", "dim", "size", "unit", "cells"])
+
+    dealt = classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(nearest), "rep long, label string, dim int, size long, unit binary, cells array<int>")
     dealt = materialise(dealt)
     rows = dealt.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").count()
     cuts = rows.where(F.col("count") > 2 * BLOCK).select("label", "dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     # a block in every cell it is in; a shard for each pair of blocks
     each = dealt.select("rep", "label", "dim", F.explode("cells").alias("cell")).join(small_side(cuts), ["label", "dim", "cell"], "left")
     block = F.pmod(F.xxhash64(F.lit(13), "rep"), F.col("blocks")).cast("int")
-    name = F.concat_ws("/", "label", "dim", "cell")
+    name = F.concat_ws("/", F.hex("label"), "dim", "cell")
     shards = F.when(F.col("blocks").isNull(), F.array(name)).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.concat_ws("/", name, F.least(b, block).cast("string"), F.greatest(b, block).cast("string"))))
     lists = each.select("rep", F.explode(shards).alias("shard")).groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
     return materialise(dealt.select("rep", "size", "unit").join(lists, "rep"))
@@ -353,15 +400,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit_rows(batch.column(2)), pa.binary())], names=["vec_id", "label", "unit"])
 
-    chosen = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("int").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    rows = chosen.mapInArrow(X.tidy(normal), "vec_id long, label int, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("v"))
+    chosen = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    rows = chosen.mapInArrow(X.tidy(normal), "vec_id long, label string, unit binary").groupBy("vec_id").agg(F.min(F.struct("label", "unit")).alias("v"))
     every = materialise(rows.select("vec_id", "v.label", "v.unit").withColumn("print", F.when(F.col("label").isNotNull(), F.sha2("unit", 256))))
     valid = every.where("print is not null")
     grouped = valid.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = materialise(grouped.select("rep", "size").join(valid.select(F.col("vec_id").alias("rep"), "label", (F.octet_length("unit") / 8).cast("int").alias("dim"), "unit"), "rep"))
     # a part is a large label, or all small ones
     sizes = classes.groupBy("label", "dim").count()
-    large = sizes.where(F.col("count") > 2 * BLOCK).select("label", "dim", F.concat_ws("/", "label", "dim").alias("part"))
+    large = sizes.where(F.col("count") > 2 * BLOCK).select("label", "dim", F.concat_ws("/", F.hex("label"), "dim").alias("part"))
     classes = materialise(classes.join(small_side(large), ["label", "dim"], "left").withColumn("part", F.coalesce("part", F.lit(""))))
     good, due, exactly = [], classes, []
     for attempt in range(ATTEMPTS):

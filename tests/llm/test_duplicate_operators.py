@@ -309,3 +309,25 @@ def test_what_cannot_be_audited_is_compared_exactly(spark, monkeypatch, chunk):
     rows += [(1000 + k, rows[0][1], rows[0][2]) for k in range(9)]
     got = neardup_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_links(rows)
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a/2"), (2, [1.0, 0.01], "a/2"), (3, [1.0, 0.0], "a"), (4, [1.0, 0.0], None), (5, [1.0, 0.02], "a/2")]
+    text = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in neardup_graph.near_duplicates(text).collect()} == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (0, 3), 4: (0, 4)}
+    wide = text.withColumn("label", text.label.isNotNull().cast("long") * (1 << 40))
+    assert sum(r.n_links for r in neardup_graph.near_duplicates(wide.where("label is not null")).collect()) == 4 * 3
+
+
+def test_lists_of_small_clusters_hold_the_near_ones():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 32))
+    v = np.r_[base, base[:200] + 0.1 * rng.normal(size=(200, 32)), rng.normal(size=(1500, 32)), np.repeat(rng.normal(size=(1, 32)), 500, 0)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near = neardup_graph.build(v)
+    one, place = np.nonzero(near >= 0)
+    assert near.shape == (2500, neardup_graph.DEGREE) and (near != np.arange(2500)[:, None]).all()
+    found = neardup_graph.search(v, neardup_graph.undirected(one, near[one, place], len(v)), 0.93, neardup_graph.SLACK)
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    assert not (found & ~true).any() and found.sum() >= 0.995 * true.sum()
