@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A reduced form of the published algorithm: no rules for Slavic, Germanic, Spanish
+# or French spellings, TH always 0, a second code for SCH only, codes of four signs.
 # For each letter its rules in order, as (what stands before, what
 # the letter and its followers look like, code, letters consumed). An empty
 # condition always holds; ^ is the word's start.

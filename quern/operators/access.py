@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import paths
+from quern.sources.shared import small_side
 
 #: The letters of the eight operations.
 FLAGS = "crudlify"
@@ -30,7 +31,8 @@ def effective(files: DataFrame, permissions: DataFrame, groups: list[str], lette
         F.when(member, _has("deny", letter)).otherwise(_has("others_deny", letter)).alias("d"),
     ).where("a or d")
     levels = files.select("path", F.posexplode(paths.ancestors(F.col("path"))).alias("depth", "level"))
-    hit = levels.join(links, "level").where(F.col("pattern").isNull() | ((F.col("level") == paths.parent(F.col("path"))) & (F.col("pattern") == paths.file_name(F.col("path")))))
+    # the links are few: by broadcast, "/" and other levels of many files are no hot keys
+    hit = levels.join(small_side(links), "level").where(F.col("pattern").isNull() | ((F.col("level") == paths.parent(F.col("path"))) & (F.col("pattern") == paths.file_name(F.col("path")))))
     per_level = hit.groupBy("path", "depth").agg(F.max("d").alias("d"))
     decided = per_level.groupBy("path").agg((~F.max_by("d", "depth")).alias("allowed"))
     return files.select("path").join(decided, "path", "left").select("path", F.coalesce("allowed", F.lit(False)).alias("allowed"))

@@ -1,7 +1,8 @@
 """Rates of counters over time: window functions over (ts_ms, value) samples.
 
 ``by`` names the keys of the series; a series is the unit that one task orders,
-so give keys wherever samples come from many counters.
+so give keys wherever samples come from many counters. Without keys all samples
+are one series, and one task's.
 """
 
 from __future__ import annotations
