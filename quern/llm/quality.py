@@ -3,15 +3,18 @@
 Trusted positives are rows labelled 1; unlabelled web text is every other text
 (of the learning part). A small network on shape features of whole texts
 minimises pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), where pi is
-the class prior, estimated as the share of 1 among all labels of the learning
-part, less two standard errors (a prior that is too high forbids low scores; one
-that is too low hardly matters). Features are computed on executors; the fit uses at most FIT_POSITIVE
-and FIT_UNLABELLED rows, chosen by a hash of doc_id.
+the class prior. It is estimated from positives and unlabelled rows alone, by the
+best bin of a scorer that tells the two apart: on held-out rows, the least ratio
+of the share of unlabelled rows above a score to that of positives, at the score
+where its confidence bound is best. The lesser of two folds counts, less two
+standard errors (a prior that is too high forbids low scores; one that is too low
+hardly matters). Features are computed on executors; the fit uses at most
+FIT_POSITIVE and FIT_UNLABELLED rows, chosen by a hash of doc_id.
 
 Defined results: a null text scores as the empty text. Rows of labels with a
 null quality say nothing; where rows for one document differ, it is no trusted
-positive. Without positives or unlabelled rows every score is the prior (0.5
-if that is unknown too). Repeated documents are each scored; columns other than
+positive. With fewer than FEWEST positives or unlabelled rows the prior is 0.5,
+and without either every score is. Repeated documents are each scored; columns other than
 doc_id and text are not read.
 """
 
@@ -26,6 +29,8 @@ from quern.llm import textops as X
 from quern.llm.common import small_side
 
 FIT_POSITIVE, FIT_UNLABELLED = 6000, 12000
+#: Rows of either kind from which on a class prior is estimated, and the risk that its bound may fail.
+FEWEST, RISK = 40, 0.1
 THRESHOLD = 0.3
 COARSE = 16
 
@@ -85,6 +90,41 @@ def _sigmoid(z):
     return 0.5 * (1 + np.tanh(z / 2))
 
 
+def _teller(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, batch: int = 512, rate: float = 0.02, seed: int = 3):
+    """A linear score, trained to tell positives from unlabelled rows (logistic loss, both kinds of equal weight)."""
+    rng = np.random.default_rng(seed)
+    mean, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 0.02)
+    x = [np.clip((a - mean) / scale, -8, 8) for a in (positive, unlabelled)]
+    w = np.zeros(positive.shape[1] + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        rows = np.r_[x[0][rng.integers(0, len(x[0]), batch)], x[1][rng.integers(0, len(x[1]), batch)]]
+        slope = _sigmoid(rows @ w[:-1] + w[-1]) - np.repeat([1.0, 0.0], batch)
+        g = np.r_[rows.T @ slope / len(rows) + 1e-3 * w[:-1], slope.mean()]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return lambda a: np.clip((a - mean) / scale, -8, 8) @ w[:-1] + w[-1]
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> float:
+    """The share of positives among unlabelled rows, without any negative: the best bin of two folds."""
+    if min(len(positive), len(unlabelled)) < FEWEST:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    folds = [np.array_split(rng.permutation(len(x)), 2) for x in (positive, unlabelled)]
+    found = []
+    for learn, hold in ((0, 1), (1, 0)):
+        score = _teller(positive[folds[0][learn]], unlabelled[folds[1][learn]])
+        p, u = np.sort(score(positive[folds[0][hold]]))[::-1], np.sort(score(unlabelled[folds[1][hold]]))
+        above_p = np.arange(1, len(p) + 1) / len(p)
+        above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+        slack = np.sqrt(np.log(4 / RISK) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+        best = ((above_u + slack) / above_p).argmin()
+        found.append(above_u[best] / above_p[best])
+    prior = min(1.0, min(found))
+    return max(0.0, prior - 2 * (prior * (1 - prior) / min(len(positive), len(unlabelled))) ** 0.5)
+
+
 class Network:
     """Standardised features, one hidden layer, one output; with no fit it answers the prior."""
 
@@ -133,10 +173,8 @@ def _sample(docs: DataFrame, rows: int, most: int, salt: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text") -> Network:
     """docs and labels: with doc_id; may_learn: which doc_id the model may learn from."""
-    known = labels.where(may_learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows, good = known.agg(F.count("*"), F.sum((F.col("quality") >= 1).cast("int"))).first()
-    prior = good / rows if rows else 0.5
-    prior = max(0.0, prior - 2 * (prior * (1 - prior) / rows) ** 0.5) if rows else prior
+    known = labels.where(may_learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality >= 1")
+    good = known.count()
     web = docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def vectors(batches):
@@ -147,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text
         found = sorted(bytes(r[0]) for r in chosen.mapInArrow(X.tidy(vectors), "x binary").limit(2 * most).toLocalIterator())  # tasks end in any order
         return np.array([np.frombuffer(x, np.float32) for x in found], np.float32).reshape(-1, WIDTH)
 
-    trusted = _sample(known.where("quality >= 1").select("doc_id"), good or 0, FIT_POSITIVE, 1)
+    trusted = _sample(known.select("doc_id"), good, FIT_POSITIVE, 1)
     positive = gather(web.join(F.broadcast(trusted.limit(2 * FIT_POSITIVE)), "doc_id", "left_semi"), FIT_POSITIVE)
     unlabelled = gather(_sample(web, web.select("doc_id").count(), FIT_UNLABELLED, 2), FIT_UNLABELLED)
-    return Network(prior).fit(positive, unlabelled)
+    return Network(estimate_prior(positive, unlabelled)).fit(positive, unlabelled)
 
 
 def score(docs: DataFrame, model: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -292,3 +292,40 @@ def test_held_out_columns(spark, sf_dir):
     for name, n, rest in (("op1_quality_classifier", 5, 0), ("op2_language_id", 4, 2)):
         rows = queries.queries()[name](spark, sf_dir).collect()
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == rest) for r in rows)
+
+
+@pytest.mark.parametrize("share", [0.15, 0.4, 0.8])
+def test_class_prior_of_a_known_mixture(share):
+    """Positives and unlabelled rows only: the estimate is near the true share, and not above it by much."""
+    rng = np.random.default_rng(int(100 * share))
+    good, bad = (lambda n: rng.normal(1.5, 1, (n, 12))), (lambda n: rng.normal(-1.5, 1, (n, 12)))
+    n = 3000
+    k = int(share * n)
+    estimate = quality.estimate_prior(good(1500), np.r_[good(k), bad(n - k)])
+    assert share - 0.08 <= estimate <= share + 0.03
+    assert quality.estimate_prior(good(5), bad(500)) == 0.5
+
+
+def test_held_out_quality_and_languages(spark):
+    """On the given tables: area under the curve and accuracy of held-out rows."""
+    from quern.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in queries.op1_quality_classifier(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, _, q in rows if q == 1], [s for s, _, q in rows if q == 0]
+    assert len(good) > 20 and len(bad) > 5
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) >= 0.95
+    assert sum(p == q for _, p, q in rows) >= 0.9 * len(rows)
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").collect()}
+    rows = [(r.lang_pred, lang[r.doc_id]) for r in queries.op2_language_id(spark, sf).collect() if r.held_out and r.doc_id in lang]
+    assert len(rows) > 100 and sum(p == t for p, t in rows) >= 0.95 * len(rows)
+
+
+def test_ids_equal_the_named_tokenizer_on_all_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.byte_bpe()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert own.encode(r.text or "", allowed_special="all") == named.encode(r.text or "", add_special_tokens=False).ids
