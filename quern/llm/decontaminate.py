@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import textops as X
 
-#: The benchmark is a fixed query set: more bytes of items than this are refused, not broadcast.
-MAX_ITEM_BYTES = 256 << 20
+#: The benchmark is a fixed query set: more bytes of items than this are refused, not broadcast. Its windows take some ten times as much.
+MAX_ITEM_BYTES = 48 << 20
 SAMPLE = 8
 HIT_SCHEMA = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 
@@ -41,23 +41,18 @@ class Phrases:
         starts, stops, first = X.split_words(low, offsets, X.ALNUM)
         h = X.hash_words(low, starts, stops, X.Powers(), X.byte_values())
         self.ids, self.vocabulary = ids, np.unique(h)
-        seq = np.searchsorted(self.vocabulary, h) + 1
-        owners: dict[tuple, set] = {}
-        for k, (item, _) in enumerate(kept):
-            words = seq[first[k] : first[k + 1]].tolist()
-            if words:
-                w = min(window, len(words))
-                for i in range(len(words) - w + 1):
-                    owners.setdefault(tuple(words[i : i + w]), set()).add(item)
-        by_length: dict[int, list] = {}
-        for p in owners:
-            by_length.setdefault(len(p), []).append(p)
+        seq = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+        item, size = np.array([x for x, _ in kept], np.int32), np.diff(first)
         self.window = window
         #: length -> (patterns, bounds and list of the items that own each)
         self.groups = {}
-        for n, ps in sorted(by_length.items()):
-            own = [sorted(owners[p]) for p in ps]
-            self.groups[n] = (np.array(ps, np.int64), np.cumsum([0, *map(len, own)]), np.array([x for o in own for x in o], np.int64))
+        for n in sorted(set(np.minimum(size[size > 0], window).tolist())):
+            rows = np.flatnonzero(size >= window if n == window else size == n)
+            times = size[rows] - n + 1
+            starts = np.repeat(first[rows] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            patterns, which = np.unique(np.lib.stride_tricks.sliding_window_view(seq, n)[starts], axis=0, return_inverse=True)
+            own = np.unique((which.reshape(-1).astype(np.int64) << 32) + np.repeat(item[rows], times))
+            self.groups[n] = (patterns, np.searchsorted(own >> 32, np.arange(len(patterns) + 1)), (own & 0xFFFFFFFF).astype(np.int64))
         self.shortest = min(self.groups, default=0)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -122,7 +117,7 @@ class FMIndex:
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         known = len(self.less) - 1
         for t in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, t]
+            c = patterns[:, t].astype(np.int64)
             there = c < known
             c = np.where(there, c, 0)
             lo, hi = (np.where(there, self.less[c] + self.rank(c, x), 0) for x in (lo, hi))

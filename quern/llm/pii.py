@@ -15,7 +15,9 @@ word stands in the corpus, at least half are followed by a mention (which rules
 out words like "the"; a word joined to what follows it, as in "mail:x@y.z",
 stands there too). Kept patterns add the mentions they match and that overlap no
 base span; an added span has the kind of its pattern. A mention without a rule
-is one token, so an identifier with inner spaces is found by the rules only.
+is one token, so an identifier with inner spaces is found by the rules only. The
+word before a mention counts by its last 64 characters, a shape by the first 64
+of the mention and 24 signs: both only name a context, all mentions are seen.
 
 Defined results: a null or empty text has no spans. Repeated documents are each
 answered; columns other than doc_id and text are not read.
