@@ -7,6 +7,7 @@ tables; the SQL gives the same rows from views of the same names.
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -219,14 +220,55 @@ def soundex_match(spark, sf_dir):
     return df.where(F.array_contains(phonetic.soundex_codes(F.col("p_name")), phonetic.soundex_of("widgit"))).select("path", "p_name")
 
 
-@registered()
+def _rules_sql() -> str:
+    """The rules of Double Metaphone as rows: what stands before a letter becomes a test of the sign before it."""
+    rows = []
+    for letter, rules in phonetic.RULES.items():
+        for rank, (before, pattern, code, used) in enumerate(rules):
+            one = {"": "^.?$", "^": "^$"}.get(before) or (f"^[^{before[4:-1].strip('[]')}]?$" if before.startswith("(?<!") else f"^{before}$")
+            pattern = re.sub(r"\(\?!\[(.*?)\]\)", r"([^\1]|$)", pattern)
+            rows.append(f"('{letter}', {rank}, '{one}', '^{pattern}', '{code}', {used})")
+    return ", ".join(rows)
+
+
+def _metaphone_sql(texts: str) -> str:
+    """CTEs over rows (text): meta(text, codes), the distinct codes of a text's words."""
+    return f"""rules(letter, rank, one, pat, code, used) AS (VALUES {_rules_sql()}),
+spoken AS (SELECT DISTINCT text, w FROM (SELECT text, unnest(regexp_split_to_array(text, '\s+')) AS w FROM ({texts})) WHERE regexp_matches(w, '\p{{L}}')),
+heard(w, s, k, out) AS (SELECT w, s, CASE WHEN regexp_matches(s, '^({phonetic.SILENT_START.pattern})') THEN 1 ELSE 0 END, '' FROM (SELECT DISTINCT w, regexp_replace(upper(w), '[^A-Z]', '', 'g') AS s FROM spoken)
+UNION ALL SELECT w, s, k + used, out || code FROM (SELECT w, s, k, out, used, code, row_number() OVER (PARTITION BY w ORDER BY rank) AS n FROM heard JOIN rules ON letter = substr(s, k + 1, 1) AND regexp_matches(CASE WHEN k = 0 THEN '' ELSE substr(s, k, 1) END, one) AND regexp_matches(substr(s, k + 1), pat) WHERE k < length(s) AND length(out) < 4) WHERE n = 1),
+coded AS (SELECT w, left(arg_max(out, k), 4) AS c, any_value(s) AS s FROM heard GROUP BY w),
+sounds AS (SELECT w, c FROM coded UNION SELECT w, 'S' || substr(c, 2) FROM coded WHERE s LIKE 'SCH%' AND left(c, 1) <> 'S'),
+meta AS (SELECT text, coalesce(list(DISTINCT c ORDER BY c) FILTER (c <> ''), []) AS codes FROM spoken JOIN sounds USING (w) GROUP BY text)"""
+
+
+def _strings(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
+
+
+def _match_sql(texts: str, query_: str) -> str:
+    """CTEs that end with found(text, score, names): texts that the operator match finds."""
+    sound, meta = phonetic.query_codes(query_)
+    q, k = "'" + query_ + "'", text.auto_fuzziness(query_)
+    return f"""{_metaphone_sql(texts)},
+tested AS (SELECT text, lower(text) = {q} AS exact, CASE WHEN len({_trigrams("text")}) + len({_trigrams(q)}) > 0 THEN 2.0 * len(list_intersect({_trigrams("text")}, {_trigrams(q)})) / (len({_trigrams("text")}) + len({_trigrams(q)})) ELSE 0 END AS dice,
+list_has_any({_SOUNDEX.format("text")}, {_strings(sound)}) AS sound, coalesce(list_has_any(codes, {_strings(meta)}), false) AS meta, CASE WHEN damerau_levenshtein(text, {q}) <= {k} THEN 1 - damerau_levenshtein(text, {q}) / greatest(strlen(text), {len(query_.encode())})::DOUBLE END AS edits
+FROM (SELECT DISTINCT text FROM ({texts}) WHERE text IS NOT NULL) LEFT JOIN meta USING (text)),
+found AS (SELECT text, round(greatest(CASE WHEN exact OR sound OR meta THEN 1.0 ELSE 0.0 END, CASE WHEN dice > 0.3 THEN dice ELSE 0.0 END, CASE WHEN edits > 0 THEN edits ELSE 0.0 END)::DOUBLE, 6) AS score,
+list_filter([CASE WHEN exact THEN 'exact' END, CASE WHEN dice > 0.3 THEN 'trigram' END, CASE WHEN sound THEN 'soundex' END, CASE WHEN meta THEN 'dmetaphone' END, CASE WHEN edits > 0 THEN 'fuzzy' END], lambda x: x IS NOT NULL) AS names
+FROM tested WHERE exact OR dice > 0.3 OR sound OR meta OR coalesce(edits > 0, false))"""
+
+
+@registered(f"WITH RECURSIVE {_metaphone_sql('SELECT p_name AS text FROM part')} SELECT w AS word, coalesce(list(DISTINCT c ORDER BY c) FILTER (c <> ''), []) AS codes FROM sounds GROUP BY w")
 def dmetaphone_codes(spark, sf_dir):
     """Codes of each distinct word of the part names (rules without an SQL form; the tests hold fixed cases)."""
     words = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(phonetic.phonetic_words(F.col("p_name"))).alias("word")).distinct()
     return words.select("word", phonetic.dmetaphone_codes(F.col("word"), alt=True).alias("codes"))
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {_metaphone_sql('SELECT p_name AS text FROM part')},
+t AS (SELECT {PART} AS path, p_name, list_has_any({_SOUNDEX.format('p_name')}, {_strings(phonetic.query_codes('wijit reed')[0])}) AS sound, coalesce(list_has_any(codes, {_strings(phonetic.query_codes('wijit reed')[1])}), false) AS meta FROM part LEFT JOIN meta ON text = p_name)
+SELECT path, p_name, list_filter([CASE WHEN sound THEN 'soundex' END, CASE WHEN meta THEN 'dmetaphone' END], lambda x: x IS NOT NULL) AS matched_by FROM t WHERE sound OR meta""")
 def phonetic_match(spark, sf_dir):
     return found(spark, sf_dir, "/parts", {"field": "p_name", "op": "phonetic", "value": "wijit reed"}, "p_name", "matched_by")
 
@@ -249,9 +291,10 @@ def fuzzy_jaro_winkler(spark, sf_dir):
     return rows.withColumn("score", F.round("score", 6))
 
 
-@registered()
+@registered(f"WITH RECURSIVE {_match_sql('SELECT p_name AS text FROM part', 'red wigdet')} SELECT {PART} AS path, p_name, score, names AS matched_by FROM part JOIN found ON text = p_name")
 def match_fused(spark, sf_dir):
-    return found(spark, sf_dir, "/parts", {"field": "p_name", "op": "match", "value": "red wigdet"}, "p_name", "score", "matched_by")
+    rows = found(spark, sf_dir, "/parts", {"field": "p_name", "op": "match", "value": "red wigdet"}, "p_name", "score", "matched_by")
+    return rows.withColumn("score", F.round("score", 6))
 
 
 @registered(f"SELECT {PART} AS path, round(len(list_intersect({_trigrams('p_name')}, {_trigrams(chr(39) + 'gear' + chr(39))})) * 2.0 / (len({_trigrams('p_name')}) + len({_trigrams(chr(39) + 'gear' + chr(39))})), 6) AS score FROM part WHERE p_size > 25 AND len(list_intersect({_trigrams('p_name')}, {_trigrams(chr(39) + 'gear' + chr(39))})) * 2.0 / (len({_trigrams('p_name')}) + len({_trigrams(chr(39) + 'gear' + chr(39))})) >= 0.5")
@@ -374,9 +417,12 @@ def global_search_structured(spark, sf_dir):
     return search.hits(spark, standard(), sf_dir, "/", where={"field": "n_name", "op": "eq", "value": "NATION_3"}).select("path", "source")
 
 
-@registered()
+_NAMED = "SELECT '/regions/' || r_regionkey || '.json' AS path, '/regions' AS source, r_name AS text, 'r_name' AS field FROM region UNION ALL SELECT '/nations/' || n_nationkey || '.json', '/nations', n_name, 'n_name' FROM nation UNION ALL SELECT '/customers/' || c_custkey || '.json', '/customers', c_name, 'c_name' FROM customer UNION ALL SELECT '/suppliers/' || s_suppkey || '.json', '/suppliers', s_name, 's_name' FROM supplier UNION ALL SELECT '/parts/' || p_partkey || '.json', '/parts', p_name, 'p_name' FROM part"
+
+
+@registered(f"WITH RECURSIVE named AS ({_NAMED}), {_match_sql('SELECT text FROM named', 'red widget')} SELECT path, source, score, list_sort(names) AS matched_by, [field] AS fields FROM named JOIN found USING (text) ORDER BY score DESC, path LIMIT 1000")
 def global_search_broad(spark, sf_dir):
-    return search.search(spark, standard(), sf_dir, "/", query="red widget", limit=1000)
+    return search.search(spark, standard(), sf_dir, "/", query="red widget", limit=1000).withColumn("score", F.round("score", 6))
 
 
 @registered(f"""SELECT {DOCUMENT} AS path, CAST(instr(lower(text), 'the and') - 1 AS INTEGER) AS start_char,
