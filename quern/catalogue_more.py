@@ -177,6 +177,15 @@ def index_refreshed(spark, sf_dir):
     return indexes.candidates(new, "p_name", "trigram", "zinc", every=True).select("path")
 
 
+@registered(f"SELECT {PART} AS path, p_name FROM part WHERE p_name BETWEEN 'blue' AND 'old' AND p_partkey % 4 <> 0")
+def index_range_scan(spark, sf_dir):
+    """Entries of a range of values and their records; a quarter of the entries is stale and dropped."""
+    df, folder = collection(spark, sf_dir, "/parts"), _fresh(spark, "index")
+    indexes.reindex(df, {"p_name": ["string"]}, folder)
+    live = df.where("p_partkey % 4 <> 0")
+    return indexes.records(indexes.scan(spark.read.parquet(folder), "p_name", "blue", "old"), live).select("path", "p_name")
+
+
 _RAW = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) < 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END)))"
 
 

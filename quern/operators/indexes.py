@@ -153,6 +153,18 @@ def candidates(index: DataFrame, field: str, strategy: str, query: str, every: b
     return _holding(index, field, strategy, wanted, len(wanted) if every else 1)
 
 
+def scan(index: DataFrame, field: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """(token, path) of the string postings of a field from low to high, both included; None is open. Row groups outside are not read."""
+    rows = index.where((F.col("field") == field) & (F.col("strategy") == "string"))
+    rows = rows if low is None else rows.where(F.col("token") >= low)
+    return (rows if high is None else rows.where(F.col("token") <= high)).select("token", "path")
+
+
+def records(entries: DataFrame, df: DataFrame) -> DataFrame:
+    """The rows of the collection that index entries (path) lead to; entries of documents that are gone lead nowhere."""
+    return df.join(entries.select("path").distinct(), "path", "left_semi")
+
+
 def statistics(index: DataFrame) -> DataFrame:
     """(field, strategy, entries, values, documents) of each index."""
     return index.groupBy("field", "strategy").agg(F.count("*").alias("entries"), F.count_distinct("token").alias("values"), F.count_distinct("path").alias("documents"))
