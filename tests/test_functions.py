@@ -90,8 +90,14 @@ def test_json_helpers(spark):
     assert one(spark, json_values.any_equal(b, ["user", "tags", ""], "rust")) and not one(spark, json_values.any_equal(b, ["user", "tags", ""], "go"))
     assert one(spark, F.size(json_values.jq(b, ".list[] | .v"))) == 2
     assert one(spark, json_values.resolve(F.lit("no json"), ["a"])) is None
-    with pytest.raises(ValueError):
-        json_values.jq(b, "map(.x)")
+    for wrong in ("sort_by(.x)", ".a as $x", "if .a then .b end"):
+        with pytest.raises(ValueError):
+            json_values.jq(b, wrong)
+    outputs = lambda e: one(spark, F.transform(json_values.jq(b, e), lambda v: F.to_json(v)))
+    assert outputs(".list | .[] | select(.v > 1)") == ['{"v":2}'] and outputs(".list | map(.v)") == ["[1,2]"] and outputs(".user | keys") == ['["a/b","name","tags"]']
+    assert outputs(".list | length") == ["2"] and outputs('.user | .tags | .[] | select(. != "db")') == ['"rust"'] and outputs(".list | .[] | select(.v <= 1) | .v") == ["1"]
+    assert one(spark, json_values.merge_patch(F.lit("{bad"), F.lit('{"a":1}'))) is None and one(spark, json_values.deep_merge(F.lit('{"a":{"b":1}}'), F.lit("no"))) is None
+    assert json_values.segments_of("items[].flag") == ["items", "", "flag"] and json_values.segments_of("a.0./x.y/i") == ["a", 0, "/x.y/i"]
 
 
 @pytest.mark.parametrize(("target", "patch", "depth", "out"), [
