@@ -411,3 +411,75 @@ def test_index_refresh_and_stale_entries(spark):
     r = Request.from_json({"where": {"field": "name", "op": "similar", "value": "red"}})
     r.index = indexes.Index(old)
     assert sorted(x.id for x in query.matches(df.where("id < 3"), r).collect()) == [1]  # the entry of /p/3.json leads nowhere
+
+
+# --- bitmaps, tasks, forks, repair, streams ----------------------------------
+
+
+def test_bitmap_sets(spark):
+    from quern.operators import bitmaps
+
+    a, b = {0, 1, 63, 64, 200, 5000}, {1, 64, 65, 4999}
+    frame = lambda xs: bitmaps.of(spark.createDataFrame([(x,) for x in [*xs, *xs, None, -3]], "n long"), "n")
+    numbers = lambda m: {r.number for r in bitmaps.numbers(m).collect()}
+    x, y = frame(a), frame(b)
+    assert numbers(x) == a and numbers(bitmaps.intersection(x, y)) == a & b and numbers(bitmaps.union(x, y)) == a | b
+    assert numbers(bitmaps.symmetric_difference(x, y)) == a ^ b and numbers(bitmaps.difference(x, y)) == a - b
+    assert numbers(bitmaps.complement(y, 130)) == set(range(130)) - b and bitmaps.count(x).first()["count"] == 6
+    assert bitmaps.count(frame(set())).first()["count"] == 0
+
+
+def test_task_queue(spark):
+    from quern.operators import tasks
+
+    log = spark.createDataFrame([("a", 1, "gc", "{}", "pending", 10), ("b", 1, "gc", "{}", "pending", 5), ("c", 1, "backup", "{}", "pending", 1), ("c", 2, "backup", "{}", "completed", 3), ("d", 1, "gc", "{}", "pending", 2), ("d", 2, "gc", "{}", "running", 4)], "task_id string, seq int, task_type string, args string, status string, at long")
+    assert [r.task_id for r in tasks.next_pending(log, 5).collect()] == ["b", "a"]
+    begun = log.unionByName(tasks.moved_to(log, tasks.next_pending(log), tasks.RUNNING, F.lit(20).cast("long")))
+    assert {r.task_id: r.status for r in tasks.current(begun).collect()} == {"a": "pending", "b": "running", "c": "completed", "d": "running"}
+    assert tasks.moved_to(log, log.where("task_id = 'c'"), tasks.CANCELLED, F.lit(9).cast("long")).count() == 0
+    assert {r.task_id for r in tasks.cleaned(log, F.lit(4)).collect()} == {"a", "b", "d"}
+
+
+def test_forks_repair_and_directories(spark):
+    head = version(spark, [("/a", "1", 1)])
+    forks = versions.create_fork(head.withColumn("version", F.lit("x")), head, "y")
+    with pytest.raises(ValueError):
+        versions.create_fork(forks, head, "y")
+    assert {r.version: r.files for r in versions.list_forks(versions.abandon_fork(forks, "x")).collect()} == {"y": 1}
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    files = spark.createDataFrame([("/a", h("A"), "A"), ("/b", h("B"), "damaged"), ("/c", h("C"), None)], "path string, content_hash string, body string")
+    held = spark.createDataFrame([(h("B"), "B"), (h("C"), "not C")], "content_hash string, body string")
+    assert {r.path: (r.status, r.body) for r in versions.repaired(files, held).collect()} == {"/a": ("ok", "A"), "/b": ("repaired", "B"), "/c": ("lost", None)}
+    assert {r.path for r in versions.broken(files).collect()} == {"/b"}
+    with pytest.raises(ValueError):
+        versions.removed_directory(spark.createDataFrame([("/d/a",)], "path string"), "/d")
+    assert versions.removed_directory(spark.createDataFrame([("/d/a",), ("/dd",)], "path string"), "/d", recursive=True).count() == 1
+    links = spark.createDataFrame([("/l", "/x")], "path string, target string")
+    assert {r.target for r in versions.linked(versions.linked(links, "/l", "/y"), "/m", "/z").collect()} == {"/y", "/z"}
+    ops = versions.three_way_merge(version(spark, [("a", "0", 1)]), version(spark, [("a", "1", 1)]), version(spark, [("a", "2", 2)]))
+    assert versions.list_conflicts(ops).count() == 1 and versions.list_conflicts(versions.dismiss_conflicts(ops, ["a"])).count() == 0
+
+
+def test_event_types_and_heartbeats(spark, tmp_path):
+    assert events.checked_types(["heartbeat"]) == ["heartbeat"]
+    with pytest.raises(ValueError):
+        events.checked_types(["ping"])
+    assert [r.intent_time for r in events.heartbeats(spark, 1, 45_000).orderBy("intent_time").collect()] == [15_000, 30_000]
+    assert events.heartbeat_stream(spark).isStreaming
+    body = spark.createDataFrame([("body",), ("é" * 100,)], "b string")
+    for secret in ("key", "k" * 100):
+        assert [r.s for r in body.select(events.signature(secret, F.col("b")).alias("s")).collect()] == [events.sign(secret, r.b) for r in body.collect()]
+    seen = []
+    spark.createDataFrame([(1, "indexes_updated"), (2, "gc_started")], "event_id long, event_type string").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        events.reindex_on(events.read(spark, str(tmp_path / "in"), "event_id long, event_type string"), lambda df: seen.append(df.count()), str(tmp_path / "state")).awaitTermination()
+    assert seen == [1]
+
+
+def test_storage_round_trip_and_kinds(spark):
+    rows = spark.createDataFrame([("/a", "text/plain", bytearray(b"x" * 5000)), ("/b", "image/png", bytearray(b"x" * 5000)), ("/c", "text/plain", bytearray(b"short")), ("/d", "text/plain", None)], "path string, content_type string, content binary")
+    held = storage.packed(rows)
+    assert {r.path: r.compressed for r in held.collect()} == {"/a": True, "/b": False, "/c": False, "/d": False}
+    assert sorted(map(str, storage.unpacked(held).select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    long = spark.createDataFrame([("é" * 5000,), ("a" + "é" * 5000,), ("\x01" + "a" * 9000,)], "t string").select(storage.content_type(F.col("t")).alias("k")).collect()
+    assert [r.k for r in long] == ["text/plain", "text/plain", "application/octet-stream"]
