@@ -15,9 +15,10 @@ A pair is counted in the first shard that both share, so shards return sums and
 the roots of their local components, never pairs. Recall is audited in every
 large label, and in the small ones together, against brute force: the mean, over
 LINKED or more sampled classes that have links, of the share of their linked
-classes that was found. Below MIN_RECALL, the label is searched again with more
-overlap and a wider range; what still falls short after ATTEMPTS, or has too few
-links to be audited, is compared exactly, pair by pair.
+classes that was found. Labels in which AUDIT_MOST sampled classes have fewer
+links are judged together. Below MIN_RECALL, a label is searched again with more
+overlap and a wider range; what still falls short after ATTEMPTS is compared
+exactly, pair by pair.
 
 Defined results: a vector that is null, zero, or has null or non-finite
 components, or a null label, links with nothing. Labels of any type are compared
@@ -41,15 +42,15 @@ from quern.llm import textops as X
 from quern.llm.common import connected_components, materialise, small_side
 
 THRESHOLD = 0.93
-#: A cell aims at CELL vectors; a shard has at most 2 * BLOCK.
-CELL, BLOCK, OVERLAP, ATTEMPTS = 1000, 1500, 2, 3
+#: A label of more than LARGE classes is dealt to cells of about 2 * CELL; a cell of more than 2 * BLOCK is cut into blocks.
+LARGE, CELL, BLOCK, OVERLAP, ATTEMPTS = 600, 250, 750, 2, 3
 DEGREE, CANDIDATES, FAR, ALPHA, HOPS, SLACK = 16, 32, 6, 1.2, 60, 0.06
 #: A shard's clusters: each aims at LEAF vectors, of which each is in LEAVES, and has LEAF_MOST at most.
 LEAF, LEAVES, LEAF_MOST = 96, 3, 384
 #: Pivots are broadcast: so many bytes of them at most; with more vectors the cells grow and are cut into blocks.
 PIVOT_BYTES = 64 << 20
-#: First sample of an audit, linked classes that it needs, bytes of vectors that are broadcast at once.
-AUDIT, LINKED, CHUNK, MIN_RECALL = 500, 100, 32 << 20, 0.95
+#: First and last sample of an audit, linked classes that it needs, bytes of vectors that are broadcast at once.
+AUDIT, AUDIT_MOST, LINKED, CHUNK, MIN_RECALL = 500, 2000, 100, 32 << 20, 0.95
 SUMS = "rep long, n long, pairs long, root long"
 
 
@@ -152,10 +153,18 @@ def search(vectors: np.ndarray, adjacency: list[np.ndarray], threshold: float, s
         done = np.zeros((m, n), bool)
 
         def visit(rows, nodes, sims=sims, q=q):
-            new = sims[rows, nodes] < -1.5
-            code = np.unique(rows[new] * n + nodes[new])
-            rows, nodes = code // n, code % n
-            sims[rows, nodes] = np.einsum("ij,ij->i", vectors[q[rows]], vectors[nodes])
+            if 4 * len(rows) > sims.size:
+                asked = np.zeros(sims.shape, bool)
+                asked[rows, nodes] = True
+                rows, nodes = np.nonzero(asked & (sims < -1.5))
+            else:
+                new = sims[rows, nodes] < -1.5
+                code = np.unique(rows[new] * n + nodes[new])
+                rows, nodes = code // n, code % n
+            if 8 * len(rows) > sims.size:  # one product costs less than so many by themselves
+                sims[rows, nodes] = (vectors[q] @ vectors.T)[rows, nodes]
+            else:
+                sims[rows, nodes] = np.einsum("ij,ij->i", vectors[q[rows]], vectors[nodes])
 
         def expand(rows, nodes, done=done, visit=visit):
             done[rows, nodes] = True
@@ -205,7 +214,7 @@ def _cells(classes: DataFrame, more: int) -> DataFrame:
     """(rep, size, unit, shards) for every class: the shards it is in; more is added to the overlap."""
     spark = classes.sparkSession
     groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    large = groups.where(F.col("n") > 2 * BLOCK).collect()
+    large = groups.where(F.col("n") > LARGE).collect()
     overlap = {(r["label"], r["dim"]): _overlap(r["n"]) + more for r in large}
     # the mean cell has 2 * CELL classes, whatever the overlap
     wanted = {g: n / (2 * CELL) for g, n in overlap.items()}
@@ -314,12 +323,13 @@ def _linked(classes: DataFrame, sample: DataFrame, threshold: float) -> DataFram
     return classes.select("rep", "label", "dim", "size", "unit").mapInArrow(X.tidy(count), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
 
 
-def _audit(classes: DataFrame, sums: DataFrame, threshold: float) -> dict[str, float | None]:
-    """Recall in each part; None where a sample within CHUNK has too few linked classes to tell."""
+def _audit(classes: DataFrame, sums: DataFrame, threshold: float) -> dict[str, float]:
+    """Recall in each part; parts whose samples have too few links are one in this."""
     spark = classes.sparkSession
     sizes = {r["part"]: (r["n"], r["dim"]) for r in classes.groupBy("part").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).collect()}
     pairs = sums.groupBy("rep").agg(F.sum("pairs").alias("pairs"))
-    recall: dict[str, float | None] = {}
+    recall: dict[str, float] = {}
+    few: dict[str, tuple[int, float]] = {}
     due = [(p, AUDIT) for p in sorted(sizes, reverse=True)]
     while due:
         now, room = [], CHUNK
@@ -331,13 +341,15 @@ def _audit(classes: DataFrame, sums: DataFrame, threshold: float) -> dict[str, f
         seen = _linked(classes.where(F.col("part").isin([p for p, _ in now])), sample, threshold).join(classes.select("rep", "part"), "rep").join(pairs, "rep", "left")
         got = {r["part"]: r for r in seen.groupBy("part").agg(F.count("*").alias("linked"), F.avg(F.least(F.lit(1.0), F.coalesce("pairs", F.lit(0)) / F.col("true"))).alias("recall")).collect()}
         for p, n in now:
-            if n >= sizes[p][0] or p in got and got[p]["linked"] >= LINKED:
-                recall[p] = got[p]["recall"] if p in got else 1.0
-            elif 8 * sizes[p][1] * min(4 * n, sizes[p][0]) > CHUNK:
-                recall[p] = None
+            linked = got[p]["linked"] if p in got else 0
+            if n >= sizes[p][0] or linked >= LINKED:
+                recall[p] = got[p]["recall"] if linked else 1.0
+            elif n >= AUDIT_MOST or 8 * sizes[p][1] * 4 * n > CHUNK:
+                few[p] = linked, got[p]["recall"] if linked else 1.0
             else:
                 due.append((p, 4 * n))
-    return recall
+    linked = sum(n for n, _ in few.values())
+    return recall | dict.fromkeys(few, sum(n * r for n, r in few.values()) / linked if linked else 1.0)
 
 
 def _strip_roots(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
@@ -408,21 +420,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     classes = materialise(grouped.select("rep", "size").join(valid.select(F.col("vec_id").alias("rep"), "label", (F.octet_length("unit") / 8).cast("int").alias("dim"), "unit"), "rep"))
     # a part is a large label, or all small ones
     sizes = classes.groupBy("label", "dim").count()
-    large = sizes.where(F.col("count") > 2 * BLOCK).select("label", "dim", F.concat_ws("/", F.hex("label"), "dim").alias("part"))
+    large = sizes.where(F.col("count") > LARGE).select("label", "dim", F.concat_ws("/", F.hex("label"), "dim").alias("part"))
     classes = materialise(classes.join(small_side(large), ["label", "dim"], "left").withColumn("part", F.coalesce("part", F.lit(""))))
-    good, due, exactly = [], classes, []
+    good, due = [], classes
     for attempt in range(ATTEMPTS):
         found = _search_all(_cells(due, attempt), threshold, SLACK * (1 + attempt))
         recall = _audit(due, found, threshold)
-        exactly += [p for p, share in recall.items() if share is None]
-        short = [p for p, share in recall.items() if share is not None and share < MIN_RECALL]
-        known = due.where(~F.col("part").isin([*exactly, *short])).select("rep") if exactly or short else None
-        good.append(found if known is None else found.join(known, "rep", "left_semi"))
+        short = [p for p, share in recall.items() if share < MIN_RECALL]
+        good.append(found.join(due.where(~F.col("part").isin(short)).select("rep"), "rep", "left_semi") if short else found)
         due = classes.where(F.col("part").isin(short))
         if not short:
             break
-    if exactly or short:
-        good.append(_search_exactly(classes.where(F.col("part").isin([*exactly, *short])), threshold))
+    if short:
+        good.append(_search_exactly(due, threshold))
     sums = functools.reduce(DataFrame.unionByName, good)
     parts = connected_components(sums.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = sums.groupBy("rep").agg(F.sum("n").alias("others")).join(parts.withColumnRenamed("node", "rep"), "rep", "left")
