@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join of at most so many rows of one id is broadcast (about 64 MB); beyond it, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join of at most so many bytes, by its counted rows, is broadcast; beyond it, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: A graph of at most so many edges is resolved in one task; beyond it, step by step by joins.
+SMALL_GRAPH = 16_384
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
 
-    A folder of our own is set only where none is configured, as in tests.
+    Where none is configured, a folder of our own serves on a local master, as
+    in tests; on a cluster that would be one machine's disk, so it is an error.
+    Spark removes checkpoints that nothing refers to any more if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+def row_bytes(df: DataFrame) -> int:
+    """About what a row takes in a broadcast table; texts and lists count as 64 bytes."""
+    return 24 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else 64 for f in df.schema.fields)
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    return rows * row_bytes(df) <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if its counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its counted rows are within BROADCAST_BYTES."""
+    return F.broadcast(df) if is_small(df, df.count() if rows is None else rows) else df
 
 
 def range_parts(df: DataFrame, size: int = 64 << 20) -> int:
@@ -39,20 +61,45 @@ def bucket(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _resolved(edges: DataFrame) -> DataFrame:
+    """(node, component) of a small graph (u, v), in one task."""
+
+    def run(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not got:
+            return
+        nodes, place = np.unique(np.concatenate([*(u for u, _ in got), *(v for _, v in got)]), return_inverse=True)
+        one, two = place[: len(place) // 2], place[len(place) // 2 :]
+        root = np.arange(len(nodes))
+        while True:
+            new = root.copy()
+            np.minimum.at(new, one, root[two])
+            np.minimum.at(new, two, root[one])
+            new = new[new]  # pointers leap ahead
+            if (new == root).all():
+                break
+            root = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the least node reachable.
 
     Alternates large-star and small-star steps. Both are a map-side combined
     minimum and a join with it: by broadcast while there are few nodes, else a
     join whose skewed side can be split, so that a node with very many links is
-    no hot task. Each round is checkpointed.
+    no hot task. Each round is checkpointed. A small graph is one task's.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, rows = None, now.count()
+    if rows <= SMALL_GRAPH:
+        return _resolved(now)
     for _ in range(max_rounds):
         if not rows:
             break
-        small_enough = 2 * rows <= BROADCAST_ROWS
+        small_enough = is_small(now, 2 * rows)
         side = F.broadcast if small_enough else materialise
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
