@@ -9,13 +9,14 @@ higher floor (MIN_WORDS unless given) leaves out short runs that repeat alone. A
 hash; the first place (least doc_id, then least offset) keeps its sentences, and
 those that any other place covers are removed.
 
-Hot runs are pre-aggregated to one row a task before the shuffle; the join back
-is split where it is skewed, or reads the repeated hashes by broadcast if their
-count allows.
+Whether a text has the run before is seen where the text is read, so that the
+first document is a plain minimum: hot runs are hashed to one row a task before
+the shuffle. The join back with the repeated hashes shuffles at every size, and
+is split where it is skewed.
 
 Defined results: null and empty texts, and texts with no run, lose nothing;
 rows with a null doc_id are left alone; repeated rows of a doc_id are one
-document (equal places in it count once). Other columns are not read.
+document, each of whose texts keeps its first places. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textops as X
-from quern.llm.common import materialise, small_side
+from quern.llm.common import materialise
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 2, 25, 20
 
 
 def runs(column, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
-    """Yield (row, hash, start, end) arrays; offsets are code points."""
+    """Yield (row, hash, start, end, whether the row has the run before) arrays; offsets are code points."""
     data, offsets = X.utf8(column)
     lower, powers, values = X.lower_table(), X.Powers(), X.byte_values()
     line, stop = X.byte_class((10, 10), (13, 13)), X.byte_class((33, 33), (46, 46), (63, 63))
@@ -67,7 +68,10 @@ def runs(column, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
         key = X.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
         chars = X.char_offsets(part)
         base = chars[bounds[:-1]][owner[good]]
-        yield owner[good] + i, key.view(np.int64), chars[starts[a]] - base, chars[stops[b - 1]] - base
+        order = np.lexsort((a, key, owner[good]))
+        again = np.zeros(len(a), bool)
+        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (owner[good][order[1:]] == owner[good][order[:-1]])
+        yield owner[good] + i, key.view(np.int64), chars[starts[a]] - base, chars[stops[b - 1]] - base, again
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,14 +83,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, key, start, end in runs(batch.column(1), min_words=min_words):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "doc_id", "start", "end"])
+            for row, key, start, end, again in runs(batch.column(1), min_words=min_words):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(again)], names=["key", "doc_id", "start", "end", "again"])
 
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    places = chosen.mapInArrow(X.tidy(run), "key long, doc_id long, start int, end int")
-    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    first = materialise(first.where("n > 1").select("key", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start")))
-    later = places.join(small_side(first), "key").where("doc_id <> first_id or start <> first_start").select("doc_id", "start", "end", "first_id")
+    places = chosen.mapInArrow(X.tidy(run), "key long, doc_id long, start int, end int, again boolean")
+    first = places.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    first = materialise(first.where("n > 1").select("key", "first_id"))
+    later = places.join(first.hint("merge"), "key").where("doc_id <> first_id or again").select("doc_id", "start", "end", "first_id")
 
     merged = F.expr("""aggregate(array_sort(collected), cast(array() as array<struct<start:int,end:int>>), (done, x) ->
         case when size(done) > 0 and element_at(done, -1).end >= x.start
@@ -96,10 +100,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return grouped.select("doc_id", merged.alias("spans"), "kept_in")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the spans cut out of their texts; other columns stay."""
-    found = docs.join(spans.select("doc_id", F.col("spans").alias("_spans")), "doc_id", "left")
-    cut = F.expr(f"""concat_ws('', transform(sequence(0, size(_spans)), i -> substring({text},
-        case when i = 0 then 1 else _spans[i - 1].end + 1 end,
-        case when i = size(_spans) then length({text}) else _spans[i].start end - case when i = 0 then 0 else _spans[i - 1].end end)))""")
-    return found.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
+def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with the spans cut out of their texts; other columns stay, whatever their names."""
+    mark = "_spans"
+    while {mark, f"{mark}_id"} & set(docs.columns):
+        mark += "_"
+    found = docs.join(spans.select(F.col("doc_id").alias(f"{mark}_id"), F.col("spans").alias(mark)), F.col(doc_id).cast("long") == F.col(f"{mark}_id"), "left")
+    cut = F.expr(f"""concat_ws('', transform(sequence(0, size({mark})), i -> substring(`{text}`,
+        case when i = 0 then 1 else {mark}[i - 1].end + 1 end,
+        case when i = size({mark}) then length(`{text}`) else {mark}[i].start end - case when i = 0 then 0 else {mark}[i - 1].end end)))""")
+    return found.withColumn(text, F.when(F.col(mark).isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)

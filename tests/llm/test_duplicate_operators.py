@@ -261,6 +261,7 @@ def brute_links(rows, threshold=0.93):
 
 
 def test_graph_search_reaches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup_graph, "LARGE", 100)
     monkeypatch.setattr(neardup_graph, "CELL", 60)
     monkeypatch.setattr(neardup_graph, "BLOCK", 50)  # so that cells and blocks occur
     rows = vectors(1, 700, 40)
@@ -284,6 +285,7 @@ def test_embeddings_of_awkward_rows(spark):
 def test_links_of_large_labels_are_whole(spark, monkeypatch):
     """Single near pairs among isotropic vectors, which many pivots part, and copied groups, whose many links are easily found."""
     rng = np.random.default_rng(12)
+    monkeypatch.setattr(neardup_graph, "LARGE", 60)
     monkeypatch.setattr(neardup_graph, "CELL", 20)
     monkeypatch.setattr(neardup_graph, "BLOCK", 30)
     plain = rng.normal(size=(3000, 64))
@@ -301,6 +303,7 @@ def test_links_of_large_labels_are_whole(spark, monkeypatch):
 
 @pytest.mark.parametrize("chunk", [32 << 20, 40_000])
 def test_what_cannot_be_audited_is_compared_exactly(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neardup_graph, "LARGE", 100)
     monkeypatch.setattr(neardup_graph, "CELL", 60)
     monkeypatch.setattr(neardup_graph, "BLOCK", 50)
     monkeypatch.setattr(neardup_graph, "CHUNK", chunk)
@@ -331,3 +334,63 @@ def test_lists_of_small_clusters_hold_the_near_ones():
     true = v @ v.T >= 0.93
     np.fill_diagonal(true, False)
     assert not (found & ~true).any() and found.sum() >= 0.995 * true.sum()
+
+
+def test_jaccard_of_near_copies_that_mostly_do_not_link(spark):
+    """A large star with many components."""
+    rng = random.Random(21)
+    base = words(120, rng, 10**6).split()
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for _ in range(rng.choice([1, 3, 3, 4, 4])):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own), "en"))
+    got = jaccard.jaccard_components(awkward(spark, rows), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
+    assert 1 < len({r.component_id for r in got}) < len(rows)
+
+
+def test_large_graphs_are_resolved_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_GRAPH", 0)
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict(components(sorted({x for e in edges for x in e if e[0] != e[1]}), edges).items())
+
+
+@pytest.mark.parametrize(("rows", "small"), [(1_000_000, True), (1_100_000, False)])
+def test_broadcasts_are_bounded_by_bytes(spark, rows, small):
+    df = spark.range(5)
+    assert common.is_small(df, rows) == small and not common.is_small(df.selectExpr("id", "id as b", "cast(id as string) as t"), rows)
+    hinted = "broadcast" in common.small_side(df, rows)._jdf.queryExecution().logical().toString().lower()
+    assert hinted == small
+
+
+def test_spans_are_cut_from_tables_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abc def", "s"), (2, None, "t"), (3, "xyz", "u")], "doc_id long, text string, _spans string")
+    spans = spark.createDataFrame([(1, [(0, 4)])], "doc_id long, spans array<struct<start:int,end:int>>")
+    assert sorted(map(tuple, sentence_spans.remove_spans(docs, spans).collect()), key=str) == [(1, "def", "s"), (2, None, "t"), (3, "xyz", "u")]
+
+
+def test_spans_equal_brute_force(spark):
+    """Spans and keepers of two-sentence runs, word for word."""
+    rng = random.Random(13)
+    pool = [words(rng.randrange(2, 9), rng, 60) + rng.choice(".!?") for _ in range(40)]
+    rows = [(k, rng.choice([" ", "\n"]).join(rng.choice(pool) for _ in range(rng.randrange(0, 12))), "en") for k in range(60)]
+    got = {r.doc_id: r for r in sentence_spans.repeated_spans(awkward(spark, rows), min_words=1).collect()}
+    first, cover, keepers = {}, {}, {}
+    for i, t, _ in rows:
+        cut, at = [], 0
+        for m in __import__("re").finditer(r"[^\s][^.!?\n]*[.!?]", t):
+            cut.append((m.start(), m.end(), tuple(spaced(m[0]))))
+        for (a, _, x), (_, b, y) in zip(cut, cut[1:]):
+            key = (x + y)
+            if key in first:
+                cover.setdefault(i, set()).update(range(a, b))
+                keepers.setdefault(i, set()).add(first[key])
+            else:
+                first[key] = i
+    assert set(got) == set(cover)
+    for i, r in got.items():
+        assert {x for s in r.spans for x in range(s.start, s.end)} == cover[i] and set(r.kept_in) == keepers[i]
