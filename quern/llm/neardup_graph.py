@@ -46,7 +46,7 @@ THRESHOLD = 0.93
 LARGE, CELL, BLOCK, OVERLAP, ATTEMPTS = 600, 250, 750, 2, 3
 DEGREE, CANDIDATES, FAR, ALPHA, HOPS, SLACK = 16, 32, 6, 1.2, 60, 0.06
 #: A shard's clusters: each aims at LEAF vectors, of which each is in LEAVES, and has LEAF_MOST at most.
-LEAF, LEAVES, LEAF_MOST = 96, 3, 384
+LEAF, LEAVES, LEAF_MOST = 192, 3, 768
 #: Pivots are broadcast: so many bytes of them at most; with more vectors the cells grow and are cut into blocks.
 PIVOT_BYTES = 64 << 20
 #: First and last sample of an audit, linked classes that it needs, bytes of vectors that are broadcast at once.
