@@ -234,7 +234,7 @@ def _rules_sql() -> str:
 def _metaphone_sql(texts: str) -> str:
     """CTEs over rows (text): meta(text, codes), the distinct codes of a text's words."""
     return f"""rules(letter, rank, one, pat, code, used) AS (VALUES {_rules_sql()}),
-spoken AS (SELECT DISTINCT text, w FROM (SELECT text, unnest(regexp_split_to_array(text, '\s+')) AS w FROM ({texts})) WHERE regexp_matches(w, '\p{{L}}')),
+spoken AS (SELECT DISTINCT text, w FROM (SELECT text, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({texts})) WHERE regexp_matches(w, '\\p{{L}}')),
 heard(w, s, k, out) AS (SELECT w, s, CASE WHEN regexp_matches(s, '^({phonetic.SILENT_START.pattern})') THEN 1 ELSE 0 END, '' FROM (SELECT DISTINCT w, regexp_replace(upper(w), '[^A-Z]', '', 'g') AS s FROM spoken)
 UNION ALL SELECT w, s, k + used, out || code FROM (SELECT w, s, k, out, used, code, row_number() OVER (PARTITION BY w ORDER BY rank) AS n FROM heard JOIN rules ON letter = substr(s, k + 1, 1) AND regexp_matches(CASE WHEN k = 0 THEN '' ELSE substr(s, k, 1) END, one) AND regexp_matches(substr(s, k + 1), pat) WHERE k < length(s) AND length(out) < 4) WHERE n = 1),
 coded AS (SELECT w, left(arg_max(out, k), 4) AS c, any_value(s) AS s FROM heard GROUP BY w),
